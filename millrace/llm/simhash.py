@@ -55,44 +55,12 @@ def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
-def majority(rows: np.ndarray) -> np.ndarray:
-    """Bits set in over half of the rows, by carry-save adders on whole 64-bit columns instead of a counter for each bit."""
-    n, lanes = rows.shape
-    planes, level, counts = [rows], 0, np.zeros((lanes, 64), np.int64)
-    while level < len(planes):
-        now, carried = planes[level], []
-        while len(now) > 1:
-            k = len(now) // 3
-            if k == 0:  # two rows: a half adder
-                a, b = now[0:1], now[1:2]
-                carried.append(a & b)
-                now = a ^ b
-                break
-            a, b, c = now[:k], now[k : 2 * k], now[2 * k : 3 * k]
-            both = a ^ b
-            carried.append((a & b) | (both & c))
-            now = np.concatenate([both ^ c, now[3 * k :]])
-        if len(now):
-            bits = np.unpackbits(np.ascontiguousarray(now[0]).view(np.uint8).reshape(lanes, 8), axis=1, bitorder="little")
-            counts += bits.astype(np.int64) << level
-        if carried:
-            if len(planes) == level + 1:
-                planes.append(np.concatenate(carried))
-        level += 1
-    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64).reshape(lanes)
-
-
 def fingerprint(text: bytes | None, ngram: int, lanes: int, seed: int) -> bytes:
     """Big-endian, lane after lane; no words: all bits zero."""
     hashes = shingle_hashes(text, ngram, seed)
-    if not len(hashes):
-        return bytes(8 * lanes)
-    total = None
-    if len(hashes) <= 65536:
-        return majority(_lanes(hashes, lanes)).astype(">u8").tobytes()
-    for i in range(0, len(hashes), 65536):  # bounded memory for a very long text
-        bits = np.unpackbits(_lanes(hashes[i : i + 65536], lanes).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        total = bits if total is None else total + bits
+    total = np.zeros(64 * lanes, np.int64)
+    for i in range(0, len(hashes), 8192):  # bounded memory for a very long text
+        total += np.unpackbits(_lanes(hashes[i : i + 8192], lanes).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64).astype(">u8").tobytes()
 
 
