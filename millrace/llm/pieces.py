@@ -176,6 +176,21 @@ class Pieces:
                 del known[w]
         return out
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of distinct words, each as it is encoded after a space."""
+        marked = [MARK + w for w in words]
+        known = self.cache
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        plain = [w for w in marked if w not in known and MARK not in w[1:] and len(w) > 1]
+        own: dict[str, bytes] = {}
+        if plain and not self.whole:
+            own = dict(zip(plain, self._words(plain)))
+            known.update((w, i) for w, i in own.items() if len(w) <= CACHED_LENGTH)
+        rest = [w for w in marked if w not in known and w not in own]
+        own.update(zip(rest, self._backend(rest)))
+        return [known.get(w) or own.get(w, b"") for w in marked]
+
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(texts)]
 
