@@ -279,11 +279,13 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, text_col: str = "text", *, rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", *, count_col: str | None = None, rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> DataFrame:
     """All rows and columns of ``docs``, every secret in the text replaced by ``[kind]``; overlapping spans become one, under the
-    kind that starts first.  Texts without secrets and null texts stay as they are."""
+    kind that starts first.  Texts without secrets and null texts stay as they are.  ``count_col``, a column with the text's number
+    of characters, is counted anew where the text changes."""
     rules = tuple(rules)
     scanner, place = Scanner(rules), docs.columns.index(text_col)
+    counted = docs.columns.index(count_col) if count_col in docs.columns else None
 
     def cleaned(text: bytes, spans: list[tuple[int, int, int]]) -> str:
         whole, out, at = text.decode("utf-8", "surrogateescape"), [], 0
@@ -299,6 +301,10 @@ def redact(docs: DataFrame, text_col: str = "text", *, rules: Sequence[Rule] = B
             new = [t if not s else cleaned(t, s).encode("utf-8", "surrogateescape") for t, s in zip(texts, scanner.spans([t or b"" for t in texts]))]
             columns = list(b.columns)
             columns[place] = pa.array(new, pa.binary()).cast(pa.string())
+            if counted is not None:
+                was = columns[counted]
+                counts = [c if t == n else len(n.decode("utf-8", "surrogateescape")) for c, t, n in zip(was.to_pylist(), texts, new)]
+                columns[counted] = pa.array(counts, was.type)
             yield pa.record_batch(columns, b.schema.names)
 
     src = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
