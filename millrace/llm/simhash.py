@@ -84,10 +84,10 @@ def block_keys(fps: np.ndarray, max_bits: int, band_bits: int) -> list[np.ndarra
         parts = [(fps[:, 0] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
         widths, keys = [b - a for a, b in zip(edges, edges[1:])], []
         for t, chosen in enumerate(combinations(range(m), 3)):
-            key = np.full(len(fps), t, np.uint64)
+            key = np.zeros(len(fps), np.uint64)
             for p in chosen:
                 key = (key << np.uint64(widths[p])) | parts[p]
-            keys.append(key)
+            keys.append(key | (np.uint64(t) << np.uint64(48)))
         return keys
     bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
     weight = (1 << np.arange(band_bits, dtype=np.uint64)).astype(np.uint64)
