@@ -34,6 +34,8 @@ WINDOW, STRIDE, WIDTH = 32, 24, 16
 SAMPLE, TRAINERS, ROUNDS = 32, 32, 2
 #: Windows that are multiplied at once.
 BATCH = 256
+#: Bound of a query's and a key's components.
+REACH = 2.0
 #: Weight of the class's own distribution against the counts after a class.
 BACKOFF = 4.0
 
@@ -68,7 +70,7 @@ def _coder(model: bytes, end_id: int):
             start, flat = np.cumsum(length) - length, np.frombuffer(b"".join(coded), np.int32).astype(kind)
             counts, id_counts = np.zeros(len(own), np.int64), np.zeros(n_ids, np.int64)
             for at in range(0, len(held), 1000):
-                rows = []
+                rows, learned = [], [np.zeros(0, kind)]
                 for uid, doc_id, loc in held[at : at + 1000]:
                     n = length[loc]
                     before = np.cumsum(n) - n
@@ -77,9 +79,10 @@ def _coder(model: bytes, end_id: int):
                     u, times = np.unique(loc, return_counts=True)
                     if not out:
                         counts[u] += times
-                        id_counts += np.bincount(ids, minlength=n_ids)
+                        learned.append(ids)
                     sampled = not out and zlib.crc32(f"sample:{doc_id}".encode()) % SAMPLE == 0
                     rows.append((uid, doc_id, out, len(loc) + 1, sampled, ids.tobytes(), np.diff(u, prepend=0).astype(np.int32).tobytes(), times.astype(np.int32).tobytes()))
+                id_counts += np.bincount(np.concatenate(learned), minlength=n_ids)
                 columns = [pa.array([name] * len(rows), pa.string()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:9])), *(pa.nulls(len(rows), f.type) for f in list(schema)[9:])]
                 yield pa.record_batch(columns, schema=schema)
             last = [pa.array([own], pa.list_(pa.binary())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([id_counts.tobytes()], pa.binary())]
@@ -171,30 +174,40 @@ class Attention:
             self.w[k] = flat[at : at + n].astype(np.float32).reshape(self.w[k].shape)
             at += n
 
-    def _forward(self, inputs: np.ndarray) -> tuple:
+    def _forward(self, inputs: np.ndarray, train: bool = False) -> tuple:
         w, late = self.w, WINDOW - STRIDE
         x = w["embed"][inputs] + w["place"]
         xs = x[:, late:]
         q, k, v = xs @ (w["query"] / np.float32(math.sqrt(WIDTH))), x @ w["key"], x @ w["value"]
-        a = q @ k.transpose(0, 2, 1)
-        np.exp(np.clip(a, -30, 30, out=a), out=a)
+        # bounded queries and keys keep the exponentials finite without a pass for their maximum
+        a = np.clip(q, -REACH, REACH, out=q) @ np.clip(k, -REACH, REACH, out=k).transpose(0, 2, 1)
+        np.exp(a, out=a)
         a *= self.causal
-        a /= (a @ np.ones((WINDOW, 1), np.float32))
-        h = xs + a @ v
+        if train:
+            a /= a.sum(2, keepdims=True)
+            h = xs + a @ v
+        else:  # the sums come out of the same product, and only its few columns are divided
+            both = a @ np.concatenate([v, np.ones((*v.shape[:2], 1), np.float32)], 2)
+            h = xs + both[..., :WIDTH] / both[..., WIDTH:]
         scores = h.reshape(-1, WIDTH) @ w["out"] + self.bigram[inputs[:, late:].ravel()]
         return x, q, k, v, a, h, scores
 
     def log_likelihood(self, inputs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of each target's class probability, (windows, STRIDE)."""
         scores = self._forward(inputs)[-1]
-        own = scores[np.arange(len(scores)), target.ravel()]
-        np.exp(np.clip(scores, -60, 60, out=scores), out=scores)
-        total = scores @ np.ones((scores.shape[1], 1), np.float32)
-        return (np.clip(own, -60, 60) - np.log(total[:, 0])).reshape(target.shape)
+        rows = np.arange(len(scores))
+        with np.errstate(over="ignore"):
+            total = np.exp(scores) @ np.ones((scores.shape[1], 1), np.float32)
+        own = scores[rows, target.ravel()] - np.log(total[:, 0])
+        odd = ~np.isfinite(own)
+        if odd.any():
+            some = scores[odd] - scores[odd].max(1, keepdims=True)
+            own[odd] = some[np.arange(len(some)), target.ravel()[odd]] - np.log(np.exp(some).sum(1))
+        return own.reshape(target.shape)
 
     def gradient(self, inputs: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
         w, late = self.w, WINDOW - STRIDE
-        x, q, k, v, a, h, scores = self._forward(inputs)
+        x, q, k, v, a, h, scores = self._forward(inputs, True)
         n = max(1, int(counted.sum()))
         scores -= scores.max(1, keepdims=True)
         p = np.exp(scores)
@@ -301,9 +314,11 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> tuple[np.ndarray
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GROUPS * n_ids, np.int32)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                ids = np.frombuffer(x, kind)
-                u, n = np.unique(np.r_[0, group[ids[:-1]]] * n_ids + ids, return_counts=True)
+            for at in range(0, b.num_rows, 256):
+                docs = [np.frombuffer(x, kind) for x in b.column("ids").slice(at, 256).to_pylist()]
+                ids = np.concatenate(docs)
+                groups = group[np.r_[end_id, ids[:-1]]]  # a document's last id is the end, so the next one begins after it
+                u, n = np.unique(groups * n_ids + ids, return_counts=True)
                 total[u] += n.astype(np.int32)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some].astype(np.int64))], ["i", "n"])

@@ -10,7 +10,7 @@ import re
 import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ MARK = "▁"
 #: Kinds of pieces in the model file (fixed by its format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words kept with their ids.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 64
 
@@ -180,13 +180,12 @@ class Pieces:
         """Ids (int32 bytes) of distinct words, each as it is encoded after a space."""
         marked = [MARK + w for w in words]
         known = self.cache
-        if len(known) > CACHED_WORDS:
-            known.clear()
         plain = [w for w in marked if w not in known and MARK not in w[1:] and len(w) > 1]
         own: dict[str, bytes] = {}
         if plain and not self.whole:
             own = dict(zip(plain, self._words(plain)))
-            known.update((w, i) for w, i in own.items() if len(w) <= CACHED_LENGTH)
+            room = max(0, CACHED_WORDS - len(known))
+            known.update(islice(((w, i) for w, i in own.items() if len(w) <= CACHED_LENGTH), room))
         rest = [w for w in marked if w not in known and w not in own]
         own.update(zip(rest, self._backend(rest)))
         return [known.get(w) or own.get(w, b"") for w in marked]
