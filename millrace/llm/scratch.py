@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, set[str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,16 +30,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the written table."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that :func:`cut` wrote, once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)
     if path is not None:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has written here: for the end of a job, when its results are stored."""
+    for path in list(_WRITTEN.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
