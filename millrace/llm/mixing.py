@@ -81,7 +81,7 @@ def _plan(shards: list, weights: Sequence[float], factor: float, most: float, bl
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], factor, most)
     blocks = {s: [-(-w // block) for _, w in by[s]] for s in names}
     caps = [int(most) * sum(blocks[s]) for s in names]
-    seats = sainte_lague(goal, caps, int(round(sum(goal) / block)))
+    seats = sainte_lague(goal, caps, math.floor(min(factor, most) * sum(sizes) / block + 0.5))
     out = []
     for s, size, t, q in zip(names, sizes, goal, seats):
         words = [w for _, w in by[s]]
