@@ -33,7 +33,7 @@ CLASSES, GROUPS, SHARED = 64, 512, 16
 WINDOW, STRIDE, WIDTH = 32, 24, 16
 SAMPLE, TRAINERS, ROUNDS = 32, 32, 2
 #: Windows that are multiplied at once.
-BATCH = 256
+BATCH = 64
 #: Bound of a query's and a key's components.
 REACH = 2.0
 #: Weight of the class's own distribution against the counts after a class.
