@@ -6,8 +6,8 @@ document's subword ids and word numbers.  From that table come
 * the base: the chunks' words are summed up by word, and every chunk gets back the counts of its own words only, so no document is multiplied by
   its words in a shuffle and no vocabulary is broadcast;
 * the model: P(id | before) = P(class | ids before) * P(id | class, group of the id before).  The second factor and a bigram term of the first are counts over
-  all learning documents (at most groups * ids of them); the rest of the first is a self-attention layer trained in numpy by ``TRAINERS`` tasks on every
-  ``SAMPLE``-th learning document, their weights averaged after each round.  The sample grows with the corpus.
+  all learning documents (at most groups * ids of them); the rest of the first is a self-attention layer trained in numpy on every ``SAMPLE``-th learning document, by one task
+  for each ``TRAINER_DOCS`` of them, their weights averaged after each round.  The sample and the number of tasks grow with the corpus.
 
 Scoring cuts a document's ids into windows of ``WINDOW`` that overlap; each window scores its last ``STRIDE`` ids, so each id is scored once.
 """
@@ -29,9 +29,10 @@ from millrace.llm.words import utf8, words
 CHUNK_BYTES = 1 << 24
 #: Ids are predicted by class and looked back at by group: frequent ids have one of their own, the others share ``SHARED``, by whether they
 #: begin a word and by their first letter.
-CLASSES, GROUPS, SHARED = 64, 512, 16
+CLASSES, GROUPS, SHARED = 64, 1024, 16
 WINDOW, STRIDE, WIDTH = 32, 24, 16
-SAMPLE, TRAINERS, ROUNDS = 32, 32, 2
+#: Every so many-th learning document trains the attention layer; a task trains on about so many of them; rounds; parts in which weights are averaged.
+SAMPLE, TRAINER_DOCS, ROUNDS, PARTS = 16, 1000, 2, 16
 #: Windows that are multiplied at once.
 BATCH = 64
 #: Bound of a query's and a key's components.
@@ -311,33 +312,43 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> tuple[np.ndarray
         unigram[r["i"]] = r["n"]
     of, group = numbered(pieces, unigram, end_id, CLASSES), numbered(pieces, unigram, end_id, GROUPS)
 
+    seen = np.flatnonzero(unigram)
+    place = np.zeros(n_ids, np.int64)
+    place[seen] = np.arange(len(seen))
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(GROUPS * n_ids, np.int32)
+        total = np.zeros(GROUPS * len(seen), np.int32)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 docs = [np.frombuffer(x, kind) for x in b.column("ids").slice(at, 256).to_pylist()]
                 ids = np.concatenate(docs)
                 groups = group[np.r_[end_id, ids[:-1]]]  # a document's last id is the end, so the next one begins after it
-                u, n = np.unique(groups * n_ids + ids, return_counts=True)
+                u, n = np.unique(groups * len(seen) + place[ids], return_counts=True)
                 total[u] += n.astype(np.int32)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some].astype(np.int64))], ["i", "n"])
 
     learning = coded.where("uid is not null and not held_out")
     counted = learning.select("ids").mapInArrow(pairs, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.flatnonzero(unigram)
-    place = np.zeros(n_ids, np.int64)
-    place[seen] = np.arange(len(seen))
-    after = np.zeros((GROUPS, len(seen)))
-    key = counted["i"].to_numpy(dtype=np.int64)
-    after[key // n_ids, place[key % n_ids]] = counted["n"].to_numpy()
-    inside = Inside(after, seen, unigram, of)
+    after = np.zeros(GROUPS * len(seen))
+    after[counted["i"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy()
+    inside = Inside(after.reshape(GROUPS, len(seen)), seen, unigram, of)
     share = (inside.by_class.sum(0) + 1) / (inside.by_class.sum() + CLASSES)
     bigram = np.log((inside.by_class + BACKOFF * share) / (inside.by_class.sum(1, keepdims=True) + BACKOFF))
     attention = Attention(bigram)
 
     sample = cut(learning.where("sampled").select("uid", "ids"), "sample")
-    dealt = sample.repartition(TRAINERS, F.col("uid")).sortWithinPartitions("uid")
+    n_trainers = max(1, -(-sample.count() // TRAINER_DOCS))
+    dealt = sample.repartition(n_trainers, "uid").sortWithinPartitions("uid").select("ids")
+
+    def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = 0, np.zeros(len(attention.flat()))
+        for b in batches:
+            for n, w in zip(b.column("seen").to_pylist(), b.column("w").to_pylist()):
+                seen, total = seen + n, total + n * np.frombuffer(w, np.float32)
+        if seen:
+            yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], ["seen", "w"])
+
     for _ in range(ROUNDS):
         now = attention.flat()
 
@@ -348,9 +359,9 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> tuple[np.ndarray
             seen = own.train(x[:3] for x in _batched(docs, 32))
             yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([own.flat().astype(np.float32).tobytes()], pa.binary())], ["seen", "w"])
 
-        parts = [(r["seen"], np.frombuffer(r["w"], np.float32)) for r in dealt.select("ids").mapInArrow(trained, "seen long, w binary").collect() if r["seen"]]
+        parts = dealt.mapInArrow(trained, "seen long, w binary").repartition(PARTS).mapInArrow(averaged, "seen long, w binary").collect()
         if parts:
-            attention.load(sum(n * w.astype(float) for n, w in parts) / sum(n for n, _ in parts))
+            attention.load(sum(r["seen"] * np.frombuffer(r["w"], np.float32).astype(float) for r in parts) / sum(r["seen"] for r in parts))
     return of, group, inside, attention
 
 
