@@ -62,7 +62,7 @@ def _fit(flat: np.ndarray, text: np.ndarray, extra: np.ndarray, y: np.ndarray, u
     """Logistic regression with an L2 penalty by full-batch Adam; words that ``use`` leaves out keep the weight 0; a label seen in one class only gives a constant."""
     rows, k, n_words = len(y), extra.shape[1], len(use)
     w = np.zeros(n_words + k + 1)
-    rate = (y.sum() + 0.5) / (rows + 1.0)
+    rate = (y.sum() + 0.5) / (rows + 2.0)
     w[-1] = np.log(rate / (1 - rate))
     if not rows or y.min() == y.max():
         return w
@@ -120,7 +120,7 @@ def _evidence(n: Column, positive: Column, rate: float) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", *, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, seed: int = 7) -> Chain:
     """``categories`` maps names, in the chain's order, to 0/1 expressions over ``labels``; rows with a null one, a null id or
-    no document are left out.  Without any labelled row every probability is one half."""
+    no document are left out.  Without any labelled row every probability is one quarter, so nothing is rejected."""
     names = list(categories)
     marked = labels.select(F.col(id_col).alias("id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
     chosen = marked.orderBy(F.xxhash64(F.lit(seed), "id"), "id", *[f"y{i}" for i in range(len(names))]).limit(max_rows)

@@ -182,6 +182,6 @@ def test_chain_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     chain = toxicity.train(docs, none, toxicity.standard_categories())
-    assert {r.p_toxic for r in toxicity.score(docs, chain).collect()} == {0.5}
+    assert {r.p_toxic for r in toxicity.score(docs, chain).collect()} == {0.25}
     one = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.accepted(docs, toxicity.train(docs, one, toxicity.standard_categories())).count() == 2
