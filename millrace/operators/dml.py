@@ -6,6 +6,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.staging import written
+
 #: Fixed limit of cascades.
 MAX_DEPTH = 10
 
@@ -39,13 +41,14 @@ def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
 def with_keys(table: DataFrame, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """``rows`` with null keys replaced by the numbers after the table's greatest key, in the given order.
 
-    Numbers are dealt in two steps, partition counts first, so that a large insert is not sorted in one task.
+    Numbers are dealt in two steps, counts of ranges first, so that a large insert is not sorted in one task; the rows are written
+    with their range in between, because both steps must see the same ranges.
     """
     missing = F.col(key).isNull()
     kind = rows.schema[key].dataType
     greatest = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).unionByName(rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("m"))).agg(F.max("m").alias("m"))
     new = rows.where(missing).repartitionByRange(*order).sortWithinPartitions(*order)
-    new = new.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    new = written(new.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()), "new-rows")
     inside = new.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("__m")))
     before = inside.groupBy("__p").agg(F.count("*").alias("__n"))
     start = before.select("__p", (F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).alias("__s"))

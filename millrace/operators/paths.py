@@ -1,23 +1,9 @@
 """Paths in an edge table, hop by hop."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder: the next hop starts from there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    path = f"{base.rstrip('/')}/hops-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from millrace.sources.staging import written
 
 
 def k_hops(edges: DataFrame, hops: int, src: str = "src", dst: str = "dst", distance: str = "distance") -> DataFrame:
@@ -29,7 +15,7 @@ def k_hops(edges: DataFrame, hops: int, src: str = "src", dst: str = "dst", dist
     best = one.groupBy("src", "dst").agg(F.min("distance").alias("distance")).withColumn("steps", F.lit(1))
     hop = one.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("distance").alias("more"))
     for _ in range(hops - 1):
-        known = _written(best)
+        known = written(best, "hops")
         longer = known.join(hop, known["dst"] == hop["mid"]).select("src", F.col("to").alias("dst"), (F.col("distance") + F.col("more")).alias("distance"), (F.col("steps") + 1).alias("steps"))
         best = known.unionByName(longer).groupBy("src", "dst").agg(F.min(F.struct("distance", "steps")).alias("b")).select("src", "dst", "b.distance", "b.steps")
     return best
