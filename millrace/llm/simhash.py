@@ -9,9 +9,10 @@ Equal fingerprints are collapsed first, so copies cost one row.  The other finge
   grows with the number of blocks (see :func:`survivors`).
 
 A bucket's rows come sorted to one task, which emits links of a spanning forest for larger buckets rather than all pairs: n rows give fewer than
-n links.  A bucket only holds different fingerprints that agree in all its bits, 24 bytes each.
+n links, and as the search begins at the smallest node, buckets of one group mostly give the same links.  A bucket only holds different fingerprints that agree in all its bits, 24 bytes each.
 """
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -103,9 +104,9 @@ def _forest(sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (indices) that join exactly what links within ``most`` bits join: a search over what is not yet reached."""
     left, a, b = np.arange(len(sig)), [], []
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        queue, left = deque([left[0]]), left[1:]
         while queue and len(left):
-            at = queue.pop()
+            at = queue.popleft()
             near = np.bitwise_count(sig[left] ^ sig[at]) <= most
             if near.any():
                 found = left[near]
@@ -176,7 +177,7 @@ def class_links(classes: DataFrame, lanes: int, max_bits: int, band_bits: int, p
 
     most = max_bits if lanes == 1 else probe_bits
     rows = classes.select("node", "fp").mapInArrow(keyed, "key long, node long, sig long")
-    links = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _linked(x, most), "a long, b long").distinct()
+    links = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _linked(x, most), "a long, b long").distinct()
     if lanes == 1:
         return links
 
