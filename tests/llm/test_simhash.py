@@ -68,7 +68,7 @@ def test_large_buckets_and_runs_across_batches():
     center = rnd.getrandbits(64)
     fps = list({center ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 9))) for _ in range(400)})
     key, node = np.zeros(len(fps), np.int64), np.arange(len(fps))
-    sig = np.array(fps, np.uint64)
+    sig = np.array(fps, np.uint64).reshape(-1, 1)
     want = brute_groups(fps, 3)
     for a, b in (simhash._bucket_links(key, node, sig, 3), simhash._forest(sig, 3)):
         label = list(range(len(fps)))
@@ -81,7 +81,7 @@ def test_large_buckets_and_runs_across_batches():
         assert len(a) < len(fps)
     import pyarrow as pa
 
-    batches = [pa.record_batch([pa.array(key[i : i + 50]), pa.array(node[i : i + 50]), pa.array(sig.view(np.int64)[i : i + 50])], ["key", "node", "sig"]) for i in range(0, len(fps), 50)]
+    batches = [pa.record_batch([pa.array(key[i : i + 50]), pa.array(node[i : i + 50]), pa.array(sig[:, 0].view(np.int64)[i : i + 50])], ["key", "node", "sig"]) for i in range(0, len(fps), 50)]
     assert sum(b.num_rows for b in simhash._linked(iter(batches), 3)) == len(simhash._forest(sig, 3)[0])
 
 
