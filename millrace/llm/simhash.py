@@ -10,10 +10,13 @@ Equal fingerprints are collapsed first, so copies cost one row.  The other finge
 
 A bucket's rows come sorted to one task, which emits links of a spanning forest for larger buckets rather than all pairs: n rows give fewer than
 n links, and as the search begins at the smallest node, buckets of one group mostly give the same links.  A bucket only holds different fingerprints that agree in all its bits, 24 bytes each.
+
+With more lanes a bucket knows the first 128 bits only, so a forest of it would hold links that all bits refuse, in place of links that they allow.  What these
+bits join to a group of up to ``SMALL_BUCKET`` rows is emitted as all its pairs; the rows of a larger group meet again with all they have, and the forest is made of links that pass every check.
 """
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -101,18 +104,18 @@ def _unpack(column: pa.Array, lanes: int) -> np.ndarray:
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Different bits of rows of one or two words."""
+    """Different bits of rows of words."""
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def _forest(sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices) that join exactly what links within ``most`` bits join: a search over what is not yet reached."""
-    left, a, b = np.arange(len(sig)), [], []
+def _search(n: int, near_to: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices below n) that join exactly what links for which ``near_to`` holds join: a search over what is not yet reached."""
+    left, a, b = np.arange(n), [], []
     while len(left) > 1:
         queue, left = deque([left[0]]), left[1:]
         while queue and len(left):
             at = queue.popleft()
-            near = _distance(sig[left], sig[at]) <= most
+            near = near_to(at, left)
             if near.any():
                 found = left[near]
                 a.append(np.full(len(found), at))
@@ -122,6 +125,20 @@ def _forest(sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _forest(sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices) that join exactly what links within ``most`` bits join."""
+    return _search(len(sig), lambda at, left: _distance(sig[left], sig[at]) <= most)
+
+
+def _groups_of(n: int, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """The indices below n of each tree of a forest whose links (x, y) come in the order of :func:`_search`."""
+    label = np.arange(n)
+    for a, b in zip(x.tolist(), y.tolist()):
+        label[b] = label[a]
+    order = np.argsort(label, kind="stable")
+    return [g for g in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(g) > 1]
+
+
 def _bucket_links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside the buckets of key-sorted rows."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -144,14 +161,41 @@ def _bucket_links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, most: int)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Key-sorted rows (key, node, sig and perhaps more words of it) to links; a bucket may span batches."""
+def _bucket_candidates(key: np.ndarray, node: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, group): all pairs within ``most`` bits of buckets and groups of up to SMALL_BUCKET rows, with group -1; of a larger group,
+    for each row a, its smallest node b and the bucket's key as group."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    length = np.diff(np.r_[first, len(key)])
+    small = np.repeat(length <= SMALL_BUCKET, length)
+    out = [(*_bucket_links(key[small], node[small], sig[small], most), -1)] if small.any() else []
+    for at in np.flatnonzero(length > SMALL_BUCKET):
+        own = slice(first[at], first[at] + length[at])
+        for g in _groups_of(length[at], *_forest(sig[own], most)):
+            n = node[own][g]
+            if len(g) > SMALL_BUCKET:
+                out.append((n, np.full(len(n), n.min()), key[first[at]]))
+            else:
+                x, y = np.triu_indices(len(g), 1)
+                near = _distance(sig[own][g][x], sig[own][g][y]) <= most
+                out.append((n[x[near]], n[y[near]], -1))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    a, b, group = zip(*out)
+    return np.concatenate(a), np.concatenate(b), np.repeat(np.array(group, np.int64), [len(x) for x in a])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], most: int, candidates: bool = False) -> Iterator[pa.RecordBatch]:
+    """Key-sorted rows (key, node, sig and perhaps more words of it) to links, or to candidates; a bucket may span batches."""
     held: list[list[np.ndarray]] = []
 
     def links(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         key, node, *sig = (np.concatenate(x) for x in zip(*parts))
-        a, b = _bucket_links(key, node, np.stack(sig, 1).view(np.uint64), most)
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        words = np.stack(sig, 1).view(np.uint64)
+        a, b, *group = _bucket_candidates(key, node, words, most) if candidates else _bucket_links(key, node, words, most)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if group:  # the row and its group stay in this order
+            low, high = np.where(group[0] < 0, low, a), np.where(group[0] < 0, high, b)
+        return pa.record_batch([pa.array(x) for x in (low, high, *group)], ["a", "b", "group"][: 2 + len(group)])
 
     for batch in batches:
         if not batch.num_rows:
@@ -169,6 +213,32 @@ def _linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield links(held)
 
 
+def _group_links(batches: Iterator[pa.RecordBatch], links: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, b, node, ...) sorted by group and b to the links (indices of rows) of each group; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        node = rows.column("node").to_numpy()
+        x, y = links(rows)
+        return pa.record_batch([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group, low = batch.column("group").to_numpy(), batch.column("b").to_numpy()
+        edges = np.r_[0, np.flatnonzero((group[1:] != group[:-1]) | (low[1:] != low[:-1])) + 1, len(group)].tolist()
+        for i, j in zip(edges, edges[1:]):
+            if held and last != (group[i], low[i]):
+                yield done()
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = (group[i], low[i])
+    if held:
+        yield done()
+
+
 def class_links(classes: DataFrame, lanes: int, max_bits: int, band_bits: int, probe_bits: int) -> DataFrame:
     """(a, b): links between the classes' nodes.  ``classes`` has node and fp."""
 
@@ -183,9 +253,10 @@ def class_links(classes: DataFrame, lanes: int, max_bits: int, band_bits: int, p
     most = max_bits if lanes == 1 else probe_bits
     sig = [f"sig{i}" for i in range(min(lanes, 2))]  # a pair of many lanes is looked at by its first 128 bits before all are compared
     rows = classes.select("node", "fp").mapInArrow(keyed, "key long, node long, " + ", ".join(f"{c} long" for c in sig))
-    links = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _linked(x, most), "a long, b long").distinct()
+    met = rows.repartition("key").sortWithinPartitions("key", "node")
     if lanes == 1:
-        return links
+        return met.mapInArrow(lambda x: _linked(x, most), "a long, b long").distinct()
+    found = cut(met.mapInArrow(lambda x: _linked(x, most, True), "a long, b long, group long"), "candidates")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,9 +264,23 @@ def class_links(classes: DataFrame, lanes: int, max_bits: int, band_bits: int, p
                 d = np.bitwise_count(_unpack(b.column("x"), lanes) ^ _unpack(b.column("y"), lanes)).sum(1)
                 yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(d <= max_bits))
 
+    def links_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        fps = _unpack(rows.column("fp"), lanes)
+
+        def near_to(at: int, left: np.ndarray) -> np.ndarray:
+            near = _distance(fps[left, : len(sig)], fps[at, : len(sig)]) <= most
+            near[near] = _distance(fps[left[near]], fps[at]) <= max_bits
+            return near
+
+        return _search(len(fps), near_to)
+
     x = classes.select(F.col("node").alias("a"), F.col("fp").alias("x"))
     y = classes.select(F.col("node").alias("b"), F.col("fp").alias("y"))
-    return links.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    pairs = found.where("group < 0").select("a", "b").distinct()
+    pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    members = found.where("group >= 0").select("group", "b", F.col("a").alias("node")).join(classes.select("node", "fp"), "node").select("group", "b", "node", "fp")
+    large = members.repartition("group", "b").sortWithinPartitions("group", "b", "node").mapInArrow(lambda x: _group_links(x, links_of), "a long, b long")
+    return pairs.union(large)
 
 
 def _groups(rows: DataFrame, lanes: int, max_bits: int, band_bits: int, probe_bits: int) -> DataFrame:

@@ -122,6 +122,19 @@ def test_survivors_keep_one_of_each_group(spark):
     assert sorted(group[i] for i in kept if i < 900) == list(range(30))
 
 
+@pytest.mark.parametrize("size", [15, 60])
+def test_large_buckets_lose_no_link_to_one_that_all_bits_refuse(spark, size):
+    """Copies within the bound of their original, which has the largest node, but not of one another; all share buckets and pass the probe."""
+    rnd = random.Random(size)
+    original = rnd.getrandbits(1024)
+    copies = [original ^ sum(1 << b for b in rnd.sample(range(128, 1024), 150)) for _ in range(size)]
+    assert all(bin(x ^ y).count("1") > 180 for x in copies for y in copies if x != y)
+    fps = [np.frombuffer(v.to_bytes(128, "little"), np.uint64).astype(">u8").tobytes() for v in [*copies, original]]
+    classes = spark.createDataFrame([(i, bytearray(fp)) for i, fp in enumerate(fps)], "node long, fp binary")
+    links = {tuple(r) for r in simhash.class_links(classes, 16, 180, 18, 32).collect()}
+    assert links == {(i, size) for i in range(size)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 57])
 def test_components_of_chains_and_stars(spark, n):
     links = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, n + 1)] + [(5000, 5000), (None, 3)]
