@@ -61,13 +61,42 @@ def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, ngram: int, lanes: int, seed: int) -> bytes:
     """Big-endian, lane after lane; no words: all bits zero."""
-    hashes = shingle_hashes(text, ngram, seed)
+    return _majority(shingle_hashes(text, ngram, seed), lanes)
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> bytes:
     total = np.zeros(64 * lanes, np.int64)
     for i in range(0, len(hashes), 8192):  # bounded memory for a very long text
         total += np.unpackbits(_lanes(hashes[i : i + 8192], lanes).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64).astype(">u8").tobytes()
 
 
+def _class(text: bytes | None, ngram: int, lanes: int, seed: int) -> bytes:
+    """The fingerprint and 16 bytes of a hash of the shingle set, as texts of other shingles may share a fingerprint; no words: the fingerprint only."""
+    hashes = shingle_hashes(text, ngram, seed)
+    own = _majority(hashes, lanes)
+    return own + xxhash.xxh3_128_digest(np.unique(hashes).tobytes(), seed) if len(hashes) else own
+
+
+def _shingle_sets(docs: DataFrame, text: str, ngram: int, seed: int) -> DataFrame:
+    """(node, shingles) of ``docs`` with uid: the sorted distinct hashes, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), ngram, seed)).tobytes() for t in utf8(b, text)]
+            yield pa.record_batch([b.column("uid"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return docs.select("uid", text).mapInArrow(run, "node long, shingles binary")
+
+
+def _alike(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sorted sets share at least ``similarity`` of the shingles with ``one``; none is empty."""
+    flat, size = np.concatenate(others), np.array([len(x) for x in others])
+    found = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(found, np.cumsum(size) - size, dtype=np.int64)
+    return both >= similarity * (size + len(one) - both) - 1e-9
+
+
 def with_fingerprints(docs: DataFrame, ngram: int, lanes: int, seed: int) -> DataFrame:
     """(uid, id, fp): uid numbers the rows, so that repeated or null ids stay apart."""
 
@@ -239,8 +268,10 @@ def _group_links(batches: Iterator[pa.RecordBatch], links: Callable[[pa.Table],
         yield done()
 
 
-def class_links(classes: DataFrame, lanes: int, max_bits: int, band_bits: int, probe_bits: int) -> DataFrame:
-    """(a, b): links between the classes' nodes.  ``classes`` has node and fp."""
+def class_links(classes: DataFrame, lanes: int, max_bits: int, band_bits: int, probe_bits: int, sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
+    """(a, b): links between the classes' nodes.  ``classes`` has node and fp, which may go on behind the fingerprint.  With several lanes and
+    ``sets``, which gives (node, shingles) for a table of nodes, links also have that similarity."""
+    classes = classes.select("node", F.substring("fp", 1, 8 * lanes).alias("fp"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,12 +295,18 @@ def class_links(classes: DataFrame, lanes: int, max_bits: int, band_bits: int, p
                 d = np.bitwise_count(_unpack(b.column("x"), lanes) ^ _unpack(b.column("y"), lanes)).sum(1)
                 yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(d <= max_bits))
 
+    compare = sets is not None
+
     def links_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         fps = _unpack(rows.column("fp"), lanes)
+        own = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()] if compare else []
 
         def near_to(at: int, left: np.ndarray) -> np.ndarray:
             near = _distance(fps[left, : len(sig)], fps[at, : len(sig)]) <= most
             near[near] = _distance(fps[left[near]], fps[at]) <= max_bits
+            if compare and near.any():
+                some = left[near].tolist()
+                near[near] = np.concatenate([_alike(own[at], [own[j] for j in some[i : i + 256]], similarity) for i in range(0, len(some), 256)])
             return near
 
         return _search(len(fps), near_to)
@@ -278,15 +315,29 @@ def class_links(classes: DataFrame, lanes: int, max_bits: int, band_bits: int, p
     y = classes.select(F.col("node").alias("b"), F.col("fp").alias("y"))
     pairs = found.where("group < 0").select("a", "b").distinct()
     pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-    members = found.where("group >= 0").select("group", "b", F.col("a").alias("node")).join(classes.select("node", "fp"), "node").select("group", "b", "node", "fp")
+    members = found.where("group >= 0").select("group", "b", F.col("a").alias("node")).join(classes, "node")
+    if compare:
+
+        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                same = [bool(_alike(np.frombuffer(x.as_py(), np.uint64), [np.frombuffer(y.as_py(), np.uint64)], similarity)[0]) for x, y in zip(b.column("x"), b.column("y"))]
+                yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+        pairs = cut(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(found.where("group >= 0").select("a")).distinct()
+        own = cut(sets(ends), "shingles")
+        x, y = own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+        members = members.join(own, "node")
+    members = members.select("group", "b", "node", *[c for c in members.columns if c in ("fp", "shingles")])
     large = members.repartition("group", "b").sortWithinPartitions("group", "b", "node").mapInArrow(lambda x: _group_links(x, links_of), "a long, b long")
     return pairs.union(large)
 
 
-def _groups(rows: DataFrame, lanes: int, max_bits: int, band_bits: int, probe_bits: int) -> DataFrame:
+def _groups(rows: DataFrame, lanes: int, max_bits: int, band_bits: int, probe_bits: int, sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
     """(fp, low_uid, component): for each fingerprint the smallest uid and the smallest id of its component."""
     classes = cut(rows.groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("low")), "classes")
-    comp = cut(components(class_links(classes, lanes, max_bits, band_bits, probe_bits)), "components")
+    comp = cut(components(class_links(classes, lanes, max_bits, band_bits, probe_bits, sets, similarity)), "components")
     linked = comp.join(classes.select("node", "low"), "node")
     lows = linked.groupBy("root").agg(F.min("low").alias("low_root"))
     of_node = comp.join(lows, "root").select("node", "root", "low_root", F.lit(True).alias("is_linked"))
@@ -312,13 +363,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: The fingerprints of texts that share 0.8 of their five-word shingles differ in 15 % of the bits, of texts that share 0.7 in 19 %.
 #: 1024 bits tell these apart (a standard deviation is 1.1 %), and 56 blocks of 18 bits hold 95 % of pairs at 0.8 and 99 % at 0.85.
 #: Before that, of the first 128 bits 32 at most may differ: pairs at 0.8 differ in 19 (standard deviation 4), texts that merely share a passage in 40 and more.
+#: The bound lets pairs below 0.8 through; links are therefore compared by their shingle sets at last.
 STAGE = {"ngram": 5, "lanes": 16, "max_bits": 180, "band_bits": 18, "probe_bits": 32}
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ngram: int = 5, lanes: int = 16, max_bits: int = 180, band_bits: int = 18, probe_bits: int = 32, seed: int = 42) -> DataFrame:
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ngram: int = 5, lanes: int = 16, max_bits: int = 180, band_bits: int = 18, probe_bits: int = 32, seed: int = 42, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, but one for each group of near-duplicates on five-word shingles.
 
-    Texts without words are left alone: each stays.  Equal texts always share a group.  The row that stays is the one
+    A pair counts if the fingerprints agree as far as asked and the shingle sets have that Jaccard similarity.  Texts without words are left alone: each stays.  Equal texts always share a group.  The row that stays is the one
     with the smallest id of the group's smallest class; repeated rows count as copies.
     """
     columns = docs.columns
@@ -327,14 +379,18 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py(), ngram, lanes, seed) for t in utf8(b, text)]
+            fps = [_class(t.as_py(), ngram, lanes, seed) for t in utf8(b, text)]
             yield pa.record_batch([*b.columns, pa.array(fps, pa.binary())], [*b.schema.names, "fp"])
 
     numbered = src.withColumn("uid", F.monotonically_increasing_id())
     schema = T.StructType([*numbered.schema.fields, T.StructField("fp", T.BinaryType())])
     whole = cut(numbered.mapInArrow(run, schema), "documents")
     rows = whole.where(F.col("fp") != F.lit(bytes(8 * lanes))).select("uid", F.col(ident).cast("long").alias("id"), "fp")
-    groups = _groups(rows, lanes, max_bits, band_bits, probe_bits)
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        return _shingle_sets(whole.join(nodes.withColumnRenamed("node", "uid"), "uid", "left_semi"), text, ngram, seed)
+
+    groups = _groups(rows, lanes, max_bits, band_bits, probe_bits, sets, similarity)
     member = rows.join(groups.select("fp", "low_uid"), "fp").select("low_uid", F.struct(F.col("id").isNull().alias("none"), "id", "uid").alias("who"))
     kept = member.groupBy("low_uid").agg(F.min("who.uid").alias("x"), F.min("who").alias("who")).select(F.col("who.uid").alias("uid"))
     alone = whole.where(F.col("fp") == F.lit(bytes(8 * lanes)))

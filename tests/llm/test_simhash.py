@@ -135,6 +135,22 @@ def test_large_buckets_lose_no_link_to_one_that_all_bits_refuse(spark, size):
     assert links == {(i, size) for i in range(size)}
 
 
+def test_survivors_below_the_similarity_stay(spark):
+    rnd = random.Random(3)
+    one = lambda text: np.frombuffer(simhash.fingerprint(text.encode(), 5, 16, 42), ">u8").astype(np.uint64).reshape(1, -1)
+    texts = ["x " * 400 + " ".join(f"g{g}w{i}" for i in range(40)) for g in range(40)]  # one shingle has the majority: equal fingerprints
+    while len(texts) < 46:
+        base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        other = list(base)
+        for k in range(20, 200, 30):  # six changed words: 166 of 226 shingles are common, 0.73
+            other[k] = f"n{rnd.randrange(5000)}"
+        x, y = one(" ".join(base)), one(" ".join(other))
+        if np.bitwise_count(x ^ y).sum() <= 180 and any(a[0] == b[0] for a, b in zip(simhash.block_keys(x, 180, 18), simhash.block_keys(y, 180, 18))):
+            texts += [" ".join(base), " ".join(other)]
+    out = simhash.survivors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **simhash.STAGE)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(46))
+
+
 @pytest.mark.parametrize("n", [1, 2, 57])
 def test_components_of_chains_and_stars(spark, n):
     links = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, n + 1)] + [(5000, 5000), (None, 3)]
