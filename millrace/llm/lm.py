@@ -6,8 +6,8 @@ document's subword ids and word numbers.  From that table come
 * the base: the chunks' words are summed up by word, and every chunk gets back the counts of its own words only, so no document is multiplied by
   its words in a shuffle and no vocabulary is broadcast;
 * the model: P(id | before) = P(class | ids before) * P(id | class, group of the id before).  The second factor and a bigram term of the first are counts over
-  all learning documents (at most groups * ids of them); the rest of the first is a self-attention layer trained in numpy on every ``SAMPLE``-th learning document, by one task
-  for each ``TRAINER_DOCS`` of them, their weights averaged after each round.  The sample and the number of tasks grow with the corpus.
+  all learning documents (at most groups * ids of them); the rest of the first is a self-attention layer trained in numpy on all of them, by one task
+  for each ``TRAINER_DOCS``, their weights averaged after each round.  The number of tasks grows with the corpus.
 
 Scoring cuts a document's ids into windows of ``WINDOW`` that overlap; each window scores its last ``STRIDE`` ids, so each id is scored once.
 """
@@ -31,8 +31,8 @@ CHUNK_BYTES = 1 << 24
 #: begin a word and by their first letter.
 CLASSES, GROUPS, SHARED = 64, 1024, 16
 WINDOW, STRIDE, WIDTH = 32, 24, 16
-#: Every so many-th learning document trains the attention layer; a task trains on about so many of them; rounds; parts in which weights are averaged.
-SAMPLE, TRAINER_DOCS, ROUNDS, PARTS = 16, 1000, 2, 16
+#: A task trains the attention layer on about so many learning documents; rounds; parts in which weights are averaged.
+TRAINER_DOCS, ROUNDS, PARTS = 1000, 2, 16
 #: Windows that are multiplied at once.
 BATCH = 64
 #: Bound of a query's and a key's components.
@@ -55,7 +55,7 @@ class _Numbers(dict):
 
 def _coder(model: bytes, end_id: int):
     schema = pa.schema(
-        [("chunk", pa.string()), ("uid", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("sampled", pa.bool_()), ("ids", pa.binary()), ("steps", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("id_counts", pa.binary())]
+        [("chunk", pa.string()), ("uid", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("steps", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("id_counts", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +81,12 @@ def _coder(model: bytes, end_id: int):
                     if not out:
                         counts[u] += times
                         learned.append(ids)
-                    sampled = not out and zlib.crc32(f"sample:{doc_id}".encode()) % SAMPLE == 0
-                    rows.append((uid, doc_id, out, len(loc) + 1, sampled, ids.tobytes(), np.diff(u, prepend=0).astype(np.int32).tobytes(), times.astype(np.int32).tobytes()))
+                    rows.append((uid, doc_id, out, len(loc) + 1, ids.tobytes(), np.diff(u, prepend=0).astype(np.int32).tobytes(), times.astype(np.int32).tobytes()))
                 id_counts += np.bincount(np.concatenate(learned), minlength=n_ids)
-                columns = [pa.array([name] * len(rows), pa.string()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:9])), *(pa.nulls(len(rows), f.type) for f in list(schema)[9:])]
+                columns = [pa.array([name] * len(rows), pa.string()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:8])), *(pa.nulls(len(rows), f.type) for f in list(schema)[8:])]
                 yield pa.record_batch(columns, schema=schema)
             last = [pa.array([own], pa.list_(pa.binary())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([id_counts.tobytes()], pa.binary())]
-            yield pa.record_batch([pa.array([name], pa.string()), *(pa.nulls(1, f.type) for f in list(schema)[1:9]), *last], schema=schema)
+            yield pa.record_batch([pa.array([name], pa.string()), *(pa.nulls(1, f.type) for f in list(schema)[1:8]), *last], schema=schema)
 
         for b in batches:
             for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("id").to_pylist(), utf8(b)):
@@ -100,7 +99,7 @@ def _coder(model: bytes, end_id: int):
         if held:
             yield from chunk()
 
-    return run, "chunk string, uid long, id long, held_out boolean, n_tokens long, sampled boolean, ids binary, steps binary, times binary, words array<binary>, counts array<long>, id_counts binary"
+    return run, "chunk string, uid long, id long, held_out boolean, n_tokens long, ids binary, steps binary, times binary, words array<binary>, counts array<long>, id_counts binary"
 
 
 # ---- base -------------------------------------------------------------------------------------------------------------------
@@ -337,9 +336,8 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> tuple[np.ndarray
     bigram = np.log((inside.by_class + BACKOFF * share) / (inside.by_class.sum(1, keepdims=True) + BACKOFF))
     attention = Attention(bigram)
 
-    sample = cut(learning.where("sampled").select("uid", "ids"), "sample")
-    n_trainers = max(1, -(-sample.count() // TRAINER_DOCS))
-    dealt = sample.repartition(n_trainers, "uid").sortWithinPartitions("uid").select("ids")
+    n_trainers = max(1, -(-learning.count() // TRAINER_DOCS))
+    dealt = learning.select("uid", "ids").repartition(n_trainers, "uid").sortWithinPartitions("uid").select("ids")
 
     def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = 0, np.zeros(len(attention.flat()))

@@ -185,3 +185,13 @@ def test_chain_without_labels(spark):
     assert {r.p_toxic for r in toxicity.score(docs, chain).collect()} == {0.25}
     one = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.accepted(docs, toxicity.train(docs, one, toxicity.standard_categories())).count() == 2
+
+
+def test_attention_is_trained_on_few_documents(spark):
+    with open(PIECE_MODEL, "rb") as f:
+        model = f.read()
+    ids = [i for i in range(200) if not lm.is_held_out(i) and zlib.crc32(f"sample:{i}".encode()) % 16][:12]
+    run, schema = lm._coder(model, 2)
+    docs = spark.createDataFrame([(i, i, "one two three four five " * 20) for i in ids], "uid long, id long, text string")
+    *_, attention = lm.train_model(docs.mapInArrow(run, schema).localCheckpoint(), model, 2)
+    assert not np.array_equal(attention.flat(), lm.Attention(attention.bigram).flat())
