@@ -1,48 +1,51 @@
 """Language-model scores: a word unigram base and a causal self-attention model on subword ids.
 
-Documents are read once.  Each task writes, for chunks of about ``CHUNK_BYTES`` of text, the chunk's distinct words with their counts, and each
-document's subword ids and word numbers.  From that table come
+Documents are read once.  Each task numbers the words of chunks of about ``CHUNK_BYTES`` of text; a chunk is one row: its distinct words with their subword
+ids and counts, and its documents as word numbers.  From that table come
 
 * the base: the chunks' words are summed up by word, and every chunk gets back the counts of its own words only, so no document is multiplied by
   its words in a shuffle and no vocabulary is broadcast;
-* the model: P(id | before) = P(class | ids before) * P(id | class, group of the id before).  The second factor and a bigram term of the first are counts over
-  all learning documents (at most groups * ids of them); the rest of the first is a self-attention layer trained in numpy on all of them, by one task
-  for each ``TRAINER_DOCS``, their weights averaged after each round.  The number of tasks grows with the corpus.
+* the model of subword ids: a self-attention layer whose output is added to a bigram term counted over all learning documents.  Ids are numbered by
+  frequency; the first ``GROUPS`` or so have a number of their own.  The softmax over the numbers has two levels of ``SIDE``, and numbers that follow
+  alike share an upper one.  The layer is trained in numpy on every window of all learning documents, a part of the windows each round; tasks train on
+  their own chunks and their weights are averaged after each round, so the number of trainers grows with the corpus;
+* the score: a word's probability mixes the model's (the product over its ids) with the word's count, discounted, where the rest again goes by the model.
 
 Scoring cuts a document's ids into windows of ``WINDOW`` that overlap; each window scores its last ``STRIDE`` ids, so each id is scored once.
+What goes to the driver and back are ``GROUPS`` * ``GROUPS`` counts, one count an id and the weights, whatever the size of the corpus.
 """
 
 import math
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.pieces import MARK, Pieces
+from millrace.llm.pieces import MARK, Pieces, parse
 from millrace.llm.scratch import cut
 from millrace.llm.words import utf8, words
 
 CHUNK_BYTES = 1 << 24
-#: Ids are predicted by class and looked back at by group: frequent ids have one of their own, the others share ``SHARED``, by whether they
-#: begin a word and by their first letter.
-CLASSES, GROUPS, SHARED = 64, 1024, 16
+#: Numbers of ids: 0 the end, then the most frequent ids, then ``SHARED`` for all others, by whether they begin a word and by their first letter.
+GROUPS, SHARED, SIDE = 1024, 16, 32
 WINDOW, STRIDE, WIDTH = 32, 24, 16
-#: A task trains the attention layer on about so many learning documents; rounds; parts in which weights are averaged.
-TRAINER_DOCS, ROUNDS, PARTS = 1000, 2, 16
-#: Windows that are multiplied at once.
-BATCH = 64
-#: Bound of a query's and a key's components.
+#: Each round trains on one of so many parts of all windows; windows of a step, and when scoring; the rate at first, and the share it loses.
+ROUNDS, STEP, BATCH = 2, 32, 128
+RATE, DECAY = 1.6e-2, 0.9
+#: Bound of a query's and a key's components, which keeps the exponentials finite.
 REACH = 2.0
-#: Weight of the class's own distribution against the counts after a class.
-BACKOFF = 4.0
+#: Weight of the shorter context's distribution against counts.
+BACKOFF = 8.0
+#: Weight of word counts against the model, and what each count loses.
+WORDS, DISCOUNT = 0.1, 0.5
 
 
-def is_held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
+def is_held_out(doc_id):
+    """Column: whether the row of this id is kept from learning; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
 class _Numbers(dict):
@@ -53,354 +56,453 @@ class _Numbers(dict):
         return n
 
 
-def _coder(model: bytes, end_id: int):
-    schema = pa.schema(
-        [("chunk", pa.string()), ("uid", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("steps", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("id_counts", pa.binary())]
-    )
+#: A chunk's columns besides its name and ids; binary ones hold arrays of int32 (counts int64).
+_CHUNK = [("held", pa.binary()), ("sizes", pa.binary()), ("words_at", pa.binary()), ("word", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), ("n_pieces", pa.binary()), ("pieces", pa.binary())]
 
+
+def _coder(model: bytes, id_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
-        n_ids = len(pieces.model.pieces)
-        kind = np.uint16 if n_ids <= 65536 else np.uint32
-        number, held, size = _Numbers(), [], 0
-
-        def chunk() -> Iterator[pa.RecordBatch]:
-            name, own = uuid.uuid4().hex, list(number)
-            coded = pieces.word_ids([w.decode("utf-8", "replace") for w in own])
-            length = np.array([len(x) // 4 for x in coded], np.int64)
-            start, flat = np.cumsum(length) - length, np.frombuffer(b"".join(coded), np.int32).astype(kind)
-            counts, id_counts = np.zeros(len(own), np.int64), np.zeros(n_ids, np.int64)
-            for at in range(0, len(held), 1000):
-                rows, learned = [], [np.zeros(0, kind)]
-                for uid, doc_id, loc in held[at : at + 1000]:
-                    n = length[loc]
-                    before = np.cumsum(n) - n
-                    ids = np.append(flat[np.repeat(start[loc] - before, n) + np.arange(int(n.sum()))], kind(end_id)) if len(loc) else np.array([end_id], kind)
-                    out = is_held_out(doc_id)
-                    u, times = np.unique(loc, return_counts=True)
-                    if not out:
-                        counts[u] += times
-                        learned.append(ids)
-                    rows.append((uid, doc_id, out, len(loc) + 1, ids.tobytes(), np.diff(u, prepend=0).astype(np.int32).tobytes(), times.astype(np.int32).tobytes()))
-                id_counts += np.bincount(np.concatenate(learned), minlength=n_ids)
-                columns = [pa.array([name] * len(rows), pa.string()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:8])), *(pa.nulls(len(rows), f.type) for f in list(schema)[8:])]
-                yield pa.record_batch(columns, schema=schema)
-            last = [pa.array([own], pa.list_(pa.binary())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([id_counts.tobytes()], pa.binary())]
-            yield pa.record_batch([pa.array([name], pa.string()), *(pa.nulls(1, f.type) for f in list(schema)[1:8]), *last], schema=schema)
+        pieces, part, made = Pieces(model), TaskContext.get().partitionId(), 0
+        unknown = np.array([pieces.model.unk], np.int32).tobytes()
+        number, ids, held, found, size = _Numbers(), [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            own, sizes, out = list(number), np.array([len(x) for x in found], np.int32), np.concatenate(held)
+            coded = [x or unknown for x in pieces.word_ids([w.decode("utf-8", "replace") for w in own])]
+            at = np.concatenate(found)
+            counts = np.bincount(at[np.repeat(~out, sizes)], minlength=len(own)).astype(np.int64)
+            one = pa.concat_arrays(ids)
+            columns = [
+                pa.array([f"{part}-{made}"]),
+                pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one),
+                *(pa.array([x.tobytes()], pa.binary()) for x in (out, sizes, at)),
+                pa.array([own], pa.list_(pa.binary())),
+                pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(counts)),
+                pa.array([np.array([len(x) // 4 for x in coded], np.int32).tobytes()], pa.binary()),
+                pa.array([b"".join(coded)], pa.binary()),
+            ]
+            return pa.record_batch(columns, ["chunk", "ids", *(c for c, _ in _CHUNK)])
 
         for b in batches:
-            for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("id").to_pylist(), utf8(b)):
-                text = text.as_py()
-                held.append((uid, doc_id, np.fromiter(map(number.__getitem__, words(text)), np.int32)))
+            texts, begin = utf8(b), 0
+            for i in range(b.num_rows):
+                text = texts[i].as_py()
+                found.append(np.fromiter(map(number.__getitem__, words(text)), np.int32))
                 size += len(text or b"")
+                if size >= CHUNK_BYTES or i + 1 == b.num_rows:
+                    ids.append(b.column("id").slice(begin, i + 1 - begin))
+                    held.append(np.asarray(b.column("held").slice(begin, i + 1 - begin).to_numpy(zero_copy_only=False), bool))
+                    begin = i + 1
                 if size >= CHUNK_BYTES:
-                    yield from chunk()
-                    number, held, size = _Numbers(), [], 0
-        if held:
-            yield from chunk()
+                    yield chunk()
+                    number, ids, held, found, size, made = _Numbers(), [], [], [], 0, made + 1
+        if found:
+            yield chunk()
 
-    return run, "chunk string, uid long, id long, held_out boolean, n_tokens long, ids binary, steps binary, times binary, words array<binary>, counts array<long>, id_counts binary"
+    return run, f"chunk string, ids array<{id_type}>, held binary, sizes binary, words_at binary, word array<binary>, n array<long>, n_pieces binary, pieces binary"
 
 
-# ---- base -------------------------------------------------------------------------------------------------------------------
+class Chunk:
+    """A row of the chunk table, as far as its columns are given."""
 
+    def __init__(self, row: dict, end_id: int):
+        """Subword ids of all documents can be read by :meth:`documents`; the end is the last word and has the last number."""
+        self.sizes = np.frombuffer(row["sizes"], np.int32)
+        self.held = np.frombuffer(row["held"], bool)
+        self.at = np.frombuffer(row["words_at"], np.int32)
+        self.begin = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        n = np.frombuffer(row["n_pieces"], np.int32).astype(np.int64)
+        self.end = len(n)
+        self.n_pieces = np.append(n, 1)
+        self.first = np.cumsum(self.n_pieces) - self.n_pieces
+        self.pieces = np.append(np.frombuffer(row["pieces"], np.int32), np.int32(end_id))
 
-def base_scores(coded: DataFrame) -> DataFrame:
-    """(chunk, uid, id, held_out, n_tokens, n_known, train_tokens, base_score)."""
-    listed = coded.where("words is not null").select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")).select("chunk", "i", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counts = cut(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = coded.where("uid is not null and not held_out").count()
-    n, v = total["n"] + ends, total["v"] + (ends > 0)
-    of_chunk = listed.select(F.col("chunk").alias("owner"), "i", "word").join(counts, "word").select("owner", "i", "c")
-    docs = coded.where("uid is not null").select("chunk", "uid", "id", "held_out", "n_tokens", "steps", "times")
-    per_token, per_end = math.log10(n + v + 1), math.log10(ends + 1)
+    def words_of(self, i: int) -> np.ndarray:
+        """Numbers of a document's words and of the end."""
+        return np.append(self.at[self.begin[i] : self.begin[i] + self.sizes[i]], self.end)
+
+    def flat(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of these words, how many each has)."""
+        n = self.n_pieces[numbers]
+        before = np.cumsum(n) - n
+        return self.pieces[np.repeat(self.first[numbers] - before, n) + np.arange(int(n.sum()))], n
+
+
+_TEXT = ["held", "sizes", "words_at", "n_pieces", "pieces"]
 
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        i, c = right.column("i").to_numpy(), right.column("c").to_numpy()
-        many = np.zeros(int(i.max(initial=-1)) + 2, np.int64)
-        many[i] = c
-        value, known = np.log10(many + 1.0), (many > 0).astype(np.int64)
-        base, n_known = [], []
-        for steps, times, tokens in zip(left.column("steps").to_pylist(), left.column("times").to_pylist(), left.column("n_tokens").to_pylist()):
-            at = np.minimum(np.cumsum(np.frombuffer(steps, np.int32)), len(many) - 1)
-            k = np.frombuffer(times, np.int32)
-            base.append(float(value[at] @ k) + per_end - tokens * per_token)
-            n_known.append(int(known[at] @ k) + (ends > 0))
-        rows = left.num_rows
-        return pa.table({"chunk": left.column("chunk"), "uid": left.column("uid"), "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": pa.array(base, pa.float64())})
-
-    return docs.groupBy("chunk").cogroup(of_chunk.groupBy("owner")).applyInArrow(scored, "chunk string, uid long, id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double")
+
+def _chunks(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[Chunk]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield Chunk({c: b.column(c)[i].as_py() for c in _TEXT}, end_id)
 
 
 # ---- model ------------------------------------------------------------------------------------------------------------------
 
 
-def windows(groups: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the groups and classes of a document's ids (the last is its end, number 0 in both): the inputs (n, WINDOW) of its windows, the targets
-    (n, STRIDE) of their last positions, and which targets count.  An input is the group of the id before; in front of the text stands the end."""
-    n = -(-len(classes) // STRIDE)
+def windows(inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a document's numbers as inputs and as targets (the last is its end): the inputs (n, WINDOW) of its windows, the targets
+    (n, STRIDE) of their last positions, and which targets count.  An input is the number before; in front of the text stands the end, 0."""
+    n = -(-len(targets) // STRIDE)
     padded = np.zeros(n * STRIDE + WINDOW - STRIDE, np.int64)
-    padded[WINDOW - STRIDE + 1 : WINDOW - STRIDE + len(classes)] = groups[:-1]
+    padded[WINDOW - STRIDE + 1 : WINDOW - STRIDE + len(inputs)] = inputs[:-1]
     target = np.zeros(n * STRIDE, np.int64)
-    target[: len(classes)] = classes
+    target[: len(targets)] = targets
     view = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
     counted = np.zeros(n * STRIDE, bool)
-    counted[: len(classes)] = True
+    counted[: len(targets)] = True
     return view, target.reshape(n, STRIDE), counted.reshape(n, STRIDE)
 
 
-class Attention:
-    """One layer: group and position vectors, causal attention with a residual, class scores plus a fixed bigram term (groups, classes)."""
+def batched(documents: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> Iterator[tuple]:
+    """Windows of documents put together, ``size`` at a time: inputs, targets, which count."""
+    held, n = [], 0
+    for w in documents:
+        held.append(w)
+        n += len(w[0])
+        if n >= size:
+            x = [np.concatenate(y) for y in zip(*held)]
+            whole = n - n % size
+            for i in range(0, whole, size):
+                yield tuple(y[i : i + size] for y in x)
+            held, n = [tuple(y[whole:] for y in x)], n - whole
+    if n:
+        yield tuple(np.concatenate(y) for y in zip(*held))
+
+
+def numbered(pieces: list, counts: np.ndarray, end_id: int) -> np.ndarray:
+    """A number below ``GROUPS`` for each id: 0 the end, then the most frequent ids, then the shared ones."""
+    own = GROUPS - 1 - SHARED
+    out = np.zeros(len(counts), np.int64)
+    for i, (p, *_) in enumerate(pieces):
+        letter = p.lstrip(MARK)[:1]
+        out[i] = 1 + own + (SHARED // 2) * p.startswith(MARK) + (ord(letter) if letter else 0) % (SHARED // 2)
+    first = [i for i in np.lexsort((np.arange(len(counts)), -counts)).tolist() if i != end_id][:own]
+    out[first] = 1 + np.arange(len(first))
+    out[end_id] = 0
+    return out
 
-    NAMES = ("embed", "place", "query", "key", "value", "out")
 
-    def __init__(self, bigram: np.ndarray, seed: int = 1):
-        g, c = bigram.shape
-        r = np.random.default_rng(seed)
-        shape = {"embed": (g, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, c)}
-        self.w = {k: (r.standard_normal(s) * (0.02 if k == "out" else 0.25)).astype(np.float32) for k, s in shape.items()}
-        self.bigram = bigram.astype(np.float32)
-        late = np.arange(WINDOW - STRIDE, WINDOW)
-        self.causal = (np.arange(WINDOW)[None] <= late[:, None]).astype(np.float32)
+def places(after: np.ndarray) -> np.ndarray:
+    """A place in the two-level softmax for each number, so that numbers that come after the same ones share an upper level: of the counts ``after``
+    (number before, number) the leading directions, along which the numbers are halved again and again."""
+    share = after / np.sqrt(np.outer(after.sum(1) + 1, after.sum(0) + 1))
+    strength, axes = np.linalg.eigh(share.T @ share)
+    x = axes[:, -16:] * np.sqrt(np.maximum(strength[-16:], 0))
+    parts = [np.arange(GROUPS)]
+    while len(parts) < SIDE:
+        halves = []
+        for p in parts:
+            y = x[p] - x[p].mean(0)
+            order = p[np.argsort(y @ np.linalg.svd(y, full_matrices=False)[2][0], kind="stable")]
+            halves += [order[: len(order) // 2], order[len(order) // 2 :]]
+        parts = halves
+    out = np.empty(GROUPS, np.int64)
+    out[np.concatenate(parts)] = np.arange(GROUPS)
+    return out
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.w[k].ravel() for k in self.NAMES])
 
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for k in self.NAMES:
-            n = self.w[k].size
-            self.w[k] = flat[at : at + n].astype(np.float32).reshape(self.w[k].shape)
-            at += n
-
-    def _forward(self, inputs: np.ndarray, train: bool = False) -> tuple:
-        w, late = self.w, WINDOW - STRIDE
-        x = w["embed"][inputs] + w["place"]
-        xs = x[:, late:]
-        q, k, v = xs @ (w["query"] / np.float32(math.sqrt(WIDTH))), x @ w["key"], x @ w["value"]
-        # bounded queries and keys keep the exponentials finite without a pass for their maximum
+def bigram(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities after a number of the upper level (GROUPS, SIDE) and, after a number and an upper one, of the lower (GROUPS * SIDE, SIDE),
+    of counts (number before, place)."""
+    n = after.reshape(GROUPS, SIDE, SIDE)
+    upper = n.sum(2)
+    first = (upper.sum(0) + 1) / (upper.sum() + SIDE)
+    second = (n.sum(0) + 0.1) / (n.sum((0, 2))[:, None] + 0.1 * SIDE)
+    a = (upper + BACKOFF * first) / (upper.sum(1, keepdims=True) + BACKOFF)
+    b = (n + BACKOFF * second) / (upper[..., None] + BACKOFF)
+    return np.log(a).astype(np.float32), np.log(b).astype(np.float32).reshape(GROUPS * SIDE, SIDE)
+
+
+class Attention:
+    """One layer: vectors of numbers and positions, masked attention with a residual, scores of both levels plus the bigram terms."""
+
+    SHAPES = {"embed": (GROUPS, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "first": (WIDTH, SIDE), "second": (SIDE, WIDTH, SIDE)}
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, flat: np.ndarray | None = None, kind=np.float32):
+        """``first`` and ``second`` as :func:`bigram` gives them; the weights ``flat``, or a seeded beginning."""
+        if flat is None:
+            r = np.random.default_rng(1)
+            flat = np.concatenate([r.standard_normal(math.prod(s)) * (0.02 if k in ("first", "second") else 0.25) for k, s in self.SHAPES.items()])
+        self.flat, self.w, at = flat.astype(kind), {}, 0
+        for k, s in self.SHAPES.items():
+            self.w[k] = self.flat[at : at + math.prod(s)].reshape(s)
+            at += math.prod(s)
+        self.first, self.second = first.astype(kind, copy=False), second.astype(kind, copy=False)
+        late = np.arange(WINDOW - STRIDE, WINDOW)
+        self.causal = (np.arange(WINDOW)[None] <= late[:, None]).astype(kind)
+        self.scale, self.one = kind(1 / math.sqrt(WIDTH)), np.ones((SIDE, 1), kind)
+
+    def _hidden(self, inputs: np.ndarray) -> tuple:
+        w = self.w
+        x = w["embed"].take(inputs, 0)
+        x += w["place"]
+        late = x[:, WINDOW - STRIDE :]
+        q, k = late @ (w["query"] * self.scale), x @ w["key"]
+        v = np.ones((len(x), WINDOW, WIDTH + 1), x.dtype)  # the last column sums the weights up
+        v[..., :WIDTH] = x @ w["value"]
         a = np.clip(q, -REACH, REACH, out=q) @ np.clip(k, -REACH, REACH, out=k).transpose(0, 2, 1)
         np.exp(a, out=a)
         a *= self.causal
-        if train:
-            a /= a.sum(2, keepdims=True)
-            h = xs + a @ v
-        else:  # the sums come out of the same product, and only its few columns are divided
-            both = a @ np.concatenate([v, np.ones((*v.shape[:2], 1), np.float32)], 2)
-            h = xs + both[..., :WIDTH] / both[..., WIDTH:]
-        scores = h.reshape(-1, WIDTH) @ w["out"] + self.bigram[inputs[:, late:].ravel()]
-        return x, q, k, v, a, h, scores
+        both = a @ v
+        total = both[..., WIDTH:]
+        y = both[..., :WIDTH] / total
+        return x, q, k, v, a, total, y, (late + y).reshape(-1, WIDTH)
+
+    def _scores(self, h: np.ndarray, before: np.ndarray, place: np.ndarray) -> tuple:
+        """Scores of the upper level, and of the lower one in the order of the targets' upper places."""
+        up = place // SIDE
+        s1 = h @ self.w["first"]
+        s1 += self.first.take(before, 0)
+        order = np.argsort(up.astype(np.int8), kind="stable")
+        edges = np.searchsorted(up[order], np.arange(SIDE + 1)).tolist()
+        sorted_h, s2 = h.take(order, 0), self.second.take((before * SIDE + up).take(order), 0)
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                s2[a:b] += sorted_h[a:b] @ self.w["second"][i]
+        return s1, s2, up, order, edges, sorted_h
+
+    def _log_total(self, scores: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", divide="ignore"):
+            out = np.log(np.exp(scores) @ self.one)
+        odd = ~np.isfinite(out[:, 0])
+        if odd.any():
+            top = scores[odd].max(1, keepdims=True)
+            out[odd] = top + np.log(np.exp(scores[odd] - top).sum(1, keepdims=True))
+        return out
 
     def log_likelihood(self, inputs: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of each target's class probability, (windows, STRIDE)."""
-        scores = self._forward(inputs)[-1]
-        rows = np.arange(len(scores))
-        with np.errstate(over="ignore"):
-            total = np.exp(scores) @ np.ones((scores.shape[1], 1), np.float32)
-        own = scores[rows, target.ravel()] - np.log(total[:, 0])
-        odd = ~np.isfinite(own)
-        if odd.any():
-            some = scores[odd] - scores[odd].max(1, keepdims=True)
-            own[odd] = some[np.arange(len(some)), target.ravel()[odd]] - np.log(np.exp(some).sum(1))
-        return own.reshape(target.shape)
+        """Natural log of each target place's probability, (windows, STRIDE)."""
+        place, rows = target.ravel(), np.arange(target.size)
+        s1, s2, up, order, *_ = self._scores(self._hidden(inputs)[-1], inputs[:, WINDOW - STRIDE :].ravel(), place)
+        out = s1[rows, up] - self._log_total(s1)[:, 0]
+        out[order] += s2[rows, (place % SIDE).take(order)] - self._log_total(s2)[:, 0]
+        return out.reshape(target.shape)
 
     def gradient(self, inputs: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        w, late = self.w, WINDOW - STRIDE
-        x, q, k, v, a, h, scores = self._forward(inputs, True)
-        n = max(1, int(counted.sum()))
-        scores -= scores.max(1, keepdims=True)
-        p = np.exp(scores)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), target.ravel()] -= 1
-        p *= counted.reshape(-1, 1) / np.float32(n)
-        flat_h = h.reshape(-1, WIDTH)
-        dh = (p @ w["out"].T).reshape(h.shape)
-        dv = a.transpose(0, 2, 1) @ dh
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        scale = np.float32(1 / math.sqrt(WIDTH))
+        """Of the mean of the counted targets' negative log probability, by all weights."""
+        w, g = self.w, np.zeros_like(self.flat)
+        x, q, k, v, a, total, y, h = self._hidden(inputs)
+        place, rows = target.ravel(), np.arange(target.size)
+        s1, s2, up, order, edges, sorted_h = self._scores(h, inputs[:, WINDOW - STRIDE :].ravel(), place)
+        share = (counted.reshape(-1, 1) / max(1, int(counted.sum()))).astype(self.flat.dtype)
+        p1 = np.exp(s1 - self._log_total(s1))
+        p1[rows, up] -= 1
+        p1 *= share
+        p2 = np.exp(s2 - self._log_total(s2))
+        p2[rows, (place % SIDE).take(order)] -= 1
+        p2 *= share.take(order, 0)
+        d_second, d_sorted = np.zeros_like(w["second"]), np.empty_like(sorted_h)
+        for i, (b, e) in enumerate(zip(edges, edges[1:])):
+            if e > b:
+                d_second[i] = sorted_h[b:e].T @ p2[b:e]
+                d_sorted[b:e] = p2[b:e] @ w["second"][i].T
+        dh = p1 @ w["first"].T
+        dh[order] += d_sorted
+        d_first = h.T @ p1
+        dh = dh.reshape(y.shape)
+        part = dh / total
+        dv = a.transpose(0, 2, 1) @ part
+        ds = part @ v[..., :WIDTH].transpose(0, 2, 1)
+        ds -= (part * y).sum(2, keepdims=True)
+        ds *= a
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         flat = lambda t: t.reshape(-1, WIDTH)
-        xs = x[:, late:]
-        dx = dk @ w["key"].T + dv @ w["value"].T
-        dx[:, late:] += dh + dq @ w["query"].T * scale
-        one_hot = (inputs.reshape(-1, 1) == np.arange(len(w["embed"]))).astype(np.float32)
-        grads = {"embed": one_hot.T @ flat(dx), "place": dx.sum(0), "query": flat(xs).T @ flat(dq) * scale, "key": flat(x).T @ flat(dk), "value": flat(x).T @ flat(dv), "out": flat_h.T @ p}
-        return np.concatenate([grads[name].ravel() for name in self.NAMES])
-
-    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = 4e-3) -> int:
-        """Adam over the batches; returns the number of targets seen."""
-        m = v = np.float64(0)
-        seen, step, flat = 0, 0, self.flat().astype(float)
-        for inputs, target, counted in batches:
+        dx = dk @ w["key"].T
+        dx += dv @ w["value"].T
+        dx[:, WINDOW - STRIDE :] += dh + dq @ (w["query"].T * self.scale)
+        by = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+        same = inputs.ravel().take(by)
+        first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+        d_embed = np.zeros_like(w["embed"])
+        d_embed[same[first]] = np.add.reduceat(flat(dx).take(by, 0), first, axis=0)
+        late = flat(x[:, WINDOW - STRIDE :])
+        parts = {"embed": d_embed, "place": dx.sum(0), "query": late.T @ flat(dq) * self.scale, "key": flat(x).T @ flat(dk), "value": flat(x).T @ flat(dv), "first": d_first, "second": d_second}
+        np.concatenate([parts[n].ravel() for n in self.SHAPES], out=g)
+        return g
+
+    def train(self, batches: list[tuple], steps: int, done: float = 0.0, share: float = 1.0) -> int:
+        """Adam over the batches, about ``steps`` of them; the rate falls from where ``done`` of the training is behind by ``share`` of it.  Returns the number of targets seen."""
+        m, v, seen, one = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, self.flat.dtype.type
+        for step, (inputs, target, counted) in enumerate(batches, 1):
             g = self.gradient(inputs, target, counted)
-            step, seen = step + 1, seen + int(counted.sum())
-            m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
-            flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
-            self.load(flat)
+            seen += int(counted.sum())
+            m *= one(0.9)
+            m += one(0.1) * g
+            v *= one(0.98)
+            v += one(0.02) * np.square(g, out=g)
+            rate = RATE * (1 - DECAY * (done + share * min(1.0, step / max(1, steps))))
+            np.sqrt(v, out=g)
+            g += one(1e-8 * math.sqrt(1 - 0.98**step))
+            np.divide(m, g, out=g)
+            g *= one(rate * math.sqrt(1 - 0.98**step) / (1 - 0.9**step))
+            self.flat -= g
         return seen
 
 
-def _batched(documents: Iterator[tuple[np.ndarray, np.ndarray]], size: int = BATCH) -> Iterator[tuple]:
-    """Windows of many documents put together: inputs, targets, which count, and the number of windows of each document."""
-    held, n = [], 0
-    for groups, classes in documents:
-        held.append(windows(groups, classes))
-        n += len(held[-1][0])
-        if n >= size:
-            yield (*(np.concatenate(x) for x in zip(*held)), [len(x[0]) for x in held])
-            held, n = [], 0
-    if held:
-        yield (*(np.concatenate(x) for x in zip(*held)), [len(x[0]) for x in held])
-
+def _packed(rows: DataFrame, width: int) -> np.ndarray:
+    """Counts (i, n) of cells to a dense array on the driver, which takes in ``width`` numbers a row."""
 
-def numbered(pieces: list, counts: np.ndarray, end_id: int, n: int) -> np.ndarray:
-    """A number below ``n`` for each id: 0 the end, then the most frequent ids, then the shared ones."""
-    own = n - 1 - SHARED
-    out = np.zeros(len(counts), np.int64)
-    for i, (p, *_) in enumerate(pieces):
-        letter = p.lstrip(MARK)[:1]
-        out[i] = 1 + own + (SHARED // 2) * p.startswith(MARK) + (ord(letter) if letter else 0) % (SHARED // 2)
-    first = [i for i in np.lexsort((np.arange(len(counts)), -counts)).tolist() if i != end_id][:own]
-    out[first] = 1 + np.arange(len(first))
-    out[end_id] = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            row, col, n = b.column("row").to_numpy(), b.column("i").to_numpy() % width, b.column("n").to_numpy()
+            for r in np.unique(row).tolist():
+                np.add.at(own.setdefault(r, np.zeros(width, np.int64)), col[row == r], n[row == r])
+        yield pa.record_batch([pa.array(list(own), pa.int64()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["row", "n"])
+
+    summed = rows.groupBy("i").agg(F.sum("n").alias("n")).withColumn("row", F.expr(f"i div {width}"))
+    out = np.zeros((GROUPS, width), np.int64)
+    for r in summed.repartition("row").mapInArrow(run, "row long, n binary").collect():
+        out[r["row"]] += np.frombuffer(r["n"], np.int64)
     return out
 
 
-class Inside:
-    """log P(id | its class, group of the id before): counts after the group, backed off to the class's own distribution."""
-
-    def __init__(self, after: np.ndarray, seen: np.ndarray, unigram: np.ndarray, of: np.ndarray):
-        """``after`` (groups, ids with a count), ``seen`` those ids."""
-        total = np.bincount(of, unigram + 0.5, CLASSES)
-        own = (unigram + 0.5) / total[of]
-        self.by_class = np.stack([np.bincount(of[seen], row, CLASSES) for row in after])
-        self.table = np.log((after + BACKOFF * own[seen]) / (self.by_class[:, of[seen]] + BACKOFF)).astype(np.float32)
-        self.column = np.full(len(of), -1, np.int32)
-        self.column[seen] = np.arange(len(seen))
-        self.own, self.rest = np.log(BACKOFF * own).astype(np.float32), np.log(self.by_class + BACKOFF).astype(np.float32)
-
-    def log(self, group: np.ndarray, ids: np.ndarray, classes: np.ndarray) -> float:
-        column = self.column[ids]
-        if column.min() >= 0:
-            return float(self.table[group, column].sum(dtype=float))
-        unseen = column < 0
-        known = self.table[group[~unseen], column[~unseen]].sum(dtype=float)
-        return float(known + (self.own[ids[unseen]] - self.rest[group[unseen], classes[unseen]]).sum(dtype=float))
-
-
-def train_model(coded: DataFrame, model: bytes, end_id: int) -> tuple[np.ndarray, np.ndarray, Inside, Attention]:
-    """(class and group of each id, the counts inside classes, the attention model)."""
-    from millrace.llm.pieces import parse
-
+def train_model(coded: DataFrame, model: bytes, end_id: int) -> dict[str, np.ndarray]:
+    """Arrays of the model: number and place of each id, its log probability within its number, the bigram terms and the weights of the layer."""
     pieces = parse(model).pieces
     n_ids = len(pieces)
-    kind = np.uint16 if n_ids <= 65536 else np.uint32
+    width = -(-n_ids // GROUPS)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_ids, np.int64)
+        total = np.zeros(n_ids)
         for b in batches:
-            for x in b.column("id_counts").to_pylist():
-                total += np.frombuffer(x, np.int64)
+            for n, length, flat, held in zip(b.column("n"), b.column("n_pieces").to_pylist(), b.column("pieces").to_pylist(), b.column("held").to_pylist()):
+                each = np.repeat(n.values.to_numpy(), np.frombuffer(length, np.int32))
+                total += np.bincount(np.frombuffer(flat, np.int32), each, n_ids)
+                total[end_id] += len(held) - np.frombuffer(held, bool).sum()
         some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], ["i", "n"])
-
-    unigram = np.zeros(n_ids, np.int64)
-    for r in coded.where("id_counts is not null").select("id_counts").mapInArrow(sums, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        unigram[r["i"]] = r["n"]
-    of, group = numbered(pieces, unigram, end_id, CLASSES), numbered(pieces, unigram, end_id, GROUPS)
+        yield pa.record_batch([pa.array(some), pa.array(total[some].astype(np.int64))], ["i", "n"])
 
-    seen = np.flatnonzero(unigram)
-    place = np.zeros(n_ids, np.int64)
-    place[seen] = np.arange(len(seen))
+    unigram = _packed(coded.select("n", "n_pieces", "pieces", "held").mapInArrow(sums, "i long, n long"), width).ravel()[:n_ids]
+    number = numbered(pieces, unigram, end_id)
+    texts = coded.select(*_TEXT)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(GROUPS * len(seen), np.int32)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                docs = [np.frombuffer(x, kind) for x in b.column("ids").slice(at, 256).to_pylist()]
-                ids = np.concatenate(docs)
-                groups = group[np.r_[end_id, ids[:-1]]]  # a document's last id is the end, so the next one begins after it
-                u, n = np.unique(groups * len(seen) + place[ids], return_counts=True)
-                total[u] += n.astype(np.int32)
+        total = np.zeros(GROUPS * GROUPS, np.int64)
+        for c in _chunks(batches, end_id):
+            own = number[c.pieces]
+            learn = np.flatnonzero(~c.held)
+            times = np.zeros(c.end + 1)
+            for at in range(0, len(learn), 1024):  # where words meet: the last piece of one and the first of the next
+                at = [c.words_of(i) for i in learn[at : at + 1024]]
+                flat = np.concatenate([[c.end], *at])
+                times += np.bincount(flat[1:], minlength=c.end + 1)
+                last, first = own[c.first + c.n_pieces - 1], own[c.first]
+                total += np.bincount(last[flat[:-1]] * GROUPS + first[flat[1:]], minlength=len(total))
+            inside = np.ones(len(own), bool)
+            inside[c.first] = False
+            then = np.flatnonzero(inside)
+            total += np.bincount(own[then - 1] * GROUPS + own[then], np.repeat(times, c.n_pieces)[then], len(total)).astype(np.int64)
         some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some].astype(np.int64))], ["i", "n"])
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["i", "n"])
 
-    learning = coded.where("uid is not null and not held_out")
-    counted = learning.select("ids").mapInArrow(pairs, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    after = np.zeros(GROUPS * len(seen))
-    after[counted["i"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy()
-    inside = Inside(after.reshape(GROUPS, len(seen)), seen, unigram, of)
-    share = (inside.by_class.sum(0) + 1) / (inside.by_class.sum() + CLASSES)
-    bigram = np.log((inside.by_class + BACKOFF * share) / (inside.by_class.sum(1, keepdims=True) + BACKOFF))
-    attention = Attention(bigram)
-
-    n_trainers = max(1, -(-learning.count() // TRAINER_DOCS))
-    dealt = learning.select("uid", "ids").repartition(n_trainers, "uid").sortWithinPartitions("uid").select("ids")
+    after = _packed(texts.mapInArrow(pairs, "i long, n long"), GROUPS)
+    order = places(after.astype(float))
+    moved = np.zeros((GROUPS, GROUPS))
+    moved[:, order] = after
+    first, second = bigram(moved)
+    place, attention = order[number], Attention(first, second)
+    shipped = coded.sparkSession.sparkContext.broadcast({"first": first, "second": second, "number": number, "place": place})
 
     def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = 0, np.zeros(len(attention.flat()))
+        seen, total = 0, np.zeros(len(attention.flat))
         for b in batches:
             for n, w in zip(b.column("seen").to_pylist(), b.column("w").to_pylist()):
                 seen, total = seen + n, total + n * np.frombuffer(w, np.float32)
         if seen:
             yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], ["seen", "w"])
 
-    for _ in range(ROUNDS):
-        now = attention.flat()
-
-        def trained(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
-            own = Attention(bigram)
-            own.load(now)
-            docs = ((group[i], of[i]) for b in batches for i in (np.frombuffer(x, kind) for x in b.column("ids").to_pylist()))
-            seen = own.train(x[:3] for x in _batched(docs, 32))
-            yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([own.flat().astype(np.float32).tobytes()], pa.binary())], ["seen", "w"])
-
-        parts = dealt.mapInArrow(trained, "seen long, w binary").repartition(PARTS).mapInArrow(averaged, "seen long, w binary").collect()
-        if parts:
-            attention.load(sum(r["seen"] * np.frombuffer(r["w"], np.float32).astype(float) for r in parts) / sum(r["seen"] for r in parts))
-    return of, group, inside, attention
+    for turn in range(ROUNDS):
+        begun = coded.sparkSession.sparkContext.broadcast(attention.flat)
 
+        def trained(batches: Iterator[pa.RecordBatch], turn: int = turn, begun=begun) -> Iterator[pa.RecordBatch]:
+            m, seen = shipped.value, 0
+            own = Attention(m["first"], m["second"], begun.value)
+            for c in _chunks(batches, end_id):
 
-def model_scores(coded: DataFrame, of: np.ndarray, group: np.ndarray, inside: Inside, attention: Attention) -> DataFrame:
-    """(uid, score): the model's log10 probability of each document."""
-    kind = np.uint16 if len(of) <= 65536 else np.uint32
-    # at most groups * ids numbers, whatever the corpus
-    shipped = coded.sparkSession.sparkContext.broadcast((of, group, inside, attention))
+                def part(c: Chunk = c) -> Iterator[tuple]:
+                    for i in np.flatnonzero(~c.held).tolist():
+                        ids = c.flat(c.words_of(i))[0]
+                        yield tuple(x[(turn + i) % ROUNDS :: ROUNDS] for x in windows(m["number"][ids], m["place"][ids]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, group, inside, attention = shipped.value
-        for b in batches:
-            extra: list[float] = []
+                steps = int(c.n_pieces[c.at].sum()) // (STRIDE * ROUNDS * STEP)
+                seen += own.train(batched(part(), STEP), steps, turn / ROUNDS, 1 / ROUNDS)
+            if seen:
+                yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["seen", "w"])
 
-            def documents(b: pa.RecordBatch = b, extra: list = extra) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for x in b.column("ids"):
-                    ids = np.frombuffer(x.as_py(), kind)
-                    groups, classes = group[ids], of[ids]
-                    extra.append(inside.log(np.r_[0, groups[:-1]], ids, classes))
-                    yield groups, classes
+        weights = texts.mapInArrow(trained, "seen long, w binary")
+        while (n := weights.rdd.getNumPartitions()) > 64:  # sums of sums, so that no task takes in the weights of all
+            weights = cut(weights.repartition(math.ceil(math.sqrt(n))).mapInArrow(averaged, "seen long, w binary"), "weights")
+        parts = sorted(weights.collect(), key=lambda r: bytes(r["w"]))
+        if parts:
+            attention = Attention(first, second, sum(r["seen"] * np.frombuffer(r["w"], np.float32).astype(float) for r in parts) / sum(r["seen"] for r in parts))
+    total = np.bincount(number, unigram + 0.5, GROUPS)
+    return {"first": first, "second": second, "number": number, "place": place, "own": np.log((unigram + 0.5) / total[number]), "flat": attention.flat}
 
-            got: list[float] = []
-            for inputs, target, counted, n in _batched(documents()):
-                rows = np.concatenate([(attention.log_likelihood(inputs[i : i + BATCH], target[i : i + BATCH]) * counted[i : i + BATCH]).sum(1, dtype=float) for i in range(0, len(inputs), BATCH)])
-                got += np.add.reduceat(rows, np.r_[0, np.cumsum(n)[:-1]]).tolist()
-            yield pa.record_batch([b.column("uid"), pa.array([(x + y) / math.log(10) for x, y in zip(got, extra)], pa.float64())], ["uid", "score"])
 
-    return coded.where("uid is not null").select("uid", "ids").mapInArrow(run, "uid long, score double")
+def _id_scores(c: Chunk, docs: list[int], m: dict, attention: Attention, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of some documents of a chunk: the numbers of their words with the ends, and each word's natural log probability by the model."""
+    per_doc = [c.words_of(i) for i in docs]
+    numbers = np.concatenate(per_doc)
+    ids, n = c.flat(numbers)
+    stop = np.flatnonzero(np.repeat(numbers == c.end, n)) + 1  # behind the end of each document
+    number, place = m["number"][ids], m["place"][ids]
+    cuts = list(zip(np.r_[0, stop[:-1]].tolist(), stop.tolist()))
+    got = [attention.log_likelihood(x, t)[y] for x, t, y in batched((windows(number[a:b], place[a:b]) for a, b in cuts), BATCH)]
+    sums = np.r_[0.0, np.cumsum(np.concatenate(got).astype(float) + m["own"][ids])]
+    ends = np.cumsum(n)
+    return numbers, sums[ends] - sums[ends - n]
 
 
 def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     ``model`` is a SentencePiece model file's content, for the subword ids; ``end_id`` its id for the end of a text.  Null and empty texts hold the
-    end only; a null id counts as the empty text in the hash, so its row is learned from.  Repeated rows are rows of their own.  Without learning
-    rows every count is zero.  Other columns are ignored.
+    end only; ids may be of any type; a null id counts as the empty text in the hash, so its row is learned from.  Repeated rows are rows of their own.
+    Without learning rows every count is zero.  Other columns are ignored.  Trainers take the chunks that a task reads, so ``score`` varies a little
+    with the layout of the files; all else doesn't.
     """
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    run, schema = _coder(model, end_id)
+    held = is_held_out(docs[id_col])
+    src = docs.select(docs[id_col].alias("id"), held.alias("held"), docs[text_col].alias("text"))
+    id_type = src.schema["id"].dataType.simpleString()
+    run, schema = _coder(model, id_type)
     coded = cut(src.mapInArrow(run, schema), "coded")
-    parts = train_model(coded, model, end_id)
-    scored = model_scores(coded, *parts)
-    out = base_scores(coded).drop("chunk").join(scored, "uid")
+    listed = coded.select("chunk", F.posexplode(F.arrays_zip("word", "n")).alias("i", "w")).select("chunk", "i", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
+    counts = cut(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    ends = src.where("not held").count()
+    n, v = total["n"] + ends, total["v"] + (ends > 0)
+    of_chunk = listed.select(F.col("chunk").alias("owner"), "i", "word").join(counts, "word").select("owner", "i", "c")
+    # a bounded set of arrays, whatever the corpus
+    shipped = coded.sparkSession.sparkContext.broadcast(train_model(coded, model, end_id))
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = shipped.value
+        attention = Attention(m["first"], m["second"], m["flat"])
+        row = {c: left.column(c)[0].as_py() for c in _TEXT}
+        c, ids = Chunk(row, end_id), left.column("ids")[0].values
+        many = np.zeros(c.end + 1, np.int64)
+        many[right.column("i").to_numpy()] = right.column("c").to_numpy()
+        many[c.end] = ends
+        value = np.log10(many + 1.0) - math.log10(n + v + 1)
+        with np.errstate(divide="ignore"):
+            counted = np.log(WORDS * np.maximum(many - DISCOUNT, 0) / max(1, n))
+        rest = math.log(1 - WORDS + WORDS * DISCOUNT * v / max(1, n))
+        tokens = c.sizes + 1
+        base, known, mixed = [], [], []
+        bound = np.cumsum(tokens, dtype=np.int64)
+        at = 0
+        while at < len(tokens):  # about 100,000 words at once, or one document
+            stop = max(at + 1, int(np.searchsorted(bound, bound[at] + 100_000)))
+            numbers, own = _id_scores(c, list(range(at, stop)), m, attention, end_id)
+            begin = np.r_[0, np.cumsum(tokens[at : stop - 1], dtype=np.int64)]
+            base.append(np.add.reduceat(value[numbers], begin))
+            known.append(np.add.reduceat((many > 0)[numbers].astype(np.int64), begin))
+            mixed.append(np.add.reduceat(np.logaddexp(counted[numbers], rest + own), begin) / math.log(10))
+            at = stop
+        rows = len(tokens)
+        return pa.table({"id": ids, "held_out": pa.array(c.held), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": np.concatenate(known), "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": np.concatenate(base), "score": np.concatenate(mixed)})
+
+    out = coded.select("chunk", "ids", *_TEXT).groupBy("chunk").cogroup(of_chunk.groupBy("owner")).applyInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
