@@ -28,13 +28,13 @@ from millrace.llm.pieces import MARK, Pieces, parse
 from millrace.llm.scratch import cut
 from millrace.llm.words import utf8, words
 
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 23
 #: Numbers of ids: 0 the end, then the most frequent ids, then ``SHARED`` for all others, by whether they begin a word and by their first letter.
 GROUPS, SHARED, SIDE = 1024, 16, 32
 WINDOW, STRIDE, WIDTH = 32, 24, 16
 #: Each round trains on one of so many parts of all windows; windows of a step, and when scoring; the rate at first, and the share it loses.
-ROUNDS, STEP, BATCH = 2, 32, 128
-RATE, DECAY = 1.6e-2, 0.9
+ROUNDS, STEP, BATCH = 2, 128, 256
+RATE, DECAY = 2.4e-2, 0.9
 #: Bound of a query's and a key's components, which keeps the exponentials finite.
 REACH = 2.0
 #: Weight of the shorter context's distribution against counts.
@@ -262,64 +262,74 @@ class Attention:
                 s2[a:b] += sorted_h[a:b] @ self.w["second"][i]
         return s1, s2, up, order, edges, sorted_h
 
-    def _log_total(self, scores: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore", divide="ignore"):
-            out = np.log(np.exp(scores) @ self.one)
-        odd = ~np.isfinite(out[:, 0])
-        if odd.any():
-            top = scores[odd].max(1, keepdims=True)
-            out[odd] = top + np.log(np.exp(scores[odd] - top).sum(1, keepdims=True))
-        return out
+    def _totals(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exponentials of the scores, their sums by row); rows where these leave the range are taken relative to their maximum, in place."""
+        with np.errstate(over="ignore"):
+            e = np.exp(scores)
+            total = e @ self.one
+        if not 0 < total.min(initial=1) <= total.max(initial=1) < np.inf:
+            scores -= scores.max(1, keepdims=True)
+            np.exp(scores, out=e)
+            total = e @ self.one
+        return e, total
 
     def log_likelihood(self, inputs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of each target place's probability, (windows, STRIDE)."""
         place, rows = target.ravel(), np.arange(target.size)
         s1, s2, up, order, *_ = self._scores(self._hidden(inputs)[-1], inputs[:, WINDOW - STRIDE :].ravel(), place)
-        out = s1[rows, up] - self._log_total(s1)[:, 0]
-        out[order] += s2[rows, (place % SIDE).take(order)] - self._log_total(s2)[:, 0]
+        total1, total2 = self._totals(s1)[1], self._totals(s2)[1]
+        out = s1[rows, up] - np.log(total1)[:, 0]
+        out[order] += s2[rows, (place % SIDE).take(order)] - np.log(total2)[:, 0]
         return out.reshape(target.shape)
 
     def gradient(self, inputs: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
         """Of the mean of the counted targets' negative log probability, by all weights."""
-        w, g = self.w, np.zeros_like(self.flat)
+        w = self.w
         x, q, k, v, a, total, y, h = self._hidden(inputs)
         place, rows = target.ravel(), np.arange(target.size)
         s1, s2, up, order, edges, sorted_h = self._scores(h, inputs[:, WINDOW - STRIDE :].ravel(), place)
-        share = (counted.reshape(-1, 1) / max(1, int(counted.sum()))).astype(self.flat.dtype)
-        p1 = np.exp(s1 - self._log_total(s1))
-        p1[rows, up] -= 1
-        p1 *= share
-        p2 = np.exp(s2 - self._log_total(s2))
-        p2[rows, (place % SIDE).take(order)] -= 1
-        p2 *= share.take(order, 0)
+        share = counted.reshape(-1).astype(self.flat.dtype)
+        share /= max(1, int(counted.sum()))
+        p1, n1 = self._totals(s1)
+        p1 *= share[:, None] / n1
+        p1[rows, up] -= share
+        p2, n2 = self._totals(s2)
+        sorted_share = share.take(order)
+        p2 *= sorted_share[:, None] / n2
+        p2[rows, (place % SIDE).take(order)] -= sorted_share
         d_second, d_sorted = np.zeros_like(w["second"]), np.empty_like(sorted_h)
         for i, (b, e) in enumerate(zip(edges, edges[1:])):
             if e > b:
-                d_second[i] = sorted_h[b:e].T @ p2[b:e]
-                d_sorted[b:e] = p2[b:e] @ w["second"][i].T
+                own = p2[b:e]
+                np.matmul(sorted_h[b:e].T, own, out=d_second[i])
+                np.matmul(own, w["second"][i].T, out=d_sorted[b:e])
+        back = np.empty_like(order)
+        back[order] = rows
         dh = p1 @ w["first"].T
-        dh[order] += d_sorted
+        dh += d_sorted.take(back, 0)
         d_first = h.T @ p1
         dh = dh.reshape(y.shape)
-        part = dh / total
-        dv = a.transpose(0, 2, 1) @ part
-        ds = part @ v[..., :WIDTH].transpose(0, 2, 1)
-        ds -= (part * y).sum(2, keepdims=True)
+        part = np.empty((*y.shape[:2], WIDTH + 1), y.dtype)  # the last column goes with the ones of v
+        np.divide(dh, total, out=part[..., :WIDTH])
+        np.negative(np.einsum("bij,bij->bi", part[..., :WIDTH], y), out=part[..., WIDTH])
+        dv = a.transpose(0, 2, 1) @ part[..., :WIDTH]
+        ds = part @ v.transpose(0, 2, 1)
         ds *= a
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         flat = lambda t: t.reshape(-1, WIDTH)
         dx = dk @ w["key"].T
         dx += dv @ w["value"].T
-        dx[:, WINDOW - STRIDE :] += dh + dq @ (w["query"].T * self.scale)
-        by = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
-        same = inputs.ravel().take(by)
-        first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+        dh += dq @ (w["query"].T * self.scale)
+        dx[:, WINDOW - STRIDE :] += dh
+        numbers = inputs.astype(np.int16).ravel()
+        by = np.argsort(numbers, kind="stable")
+        same = numbers.take(by)
+        first = np.append(0, np.flatnonzero(same[1:] != same[:-1]) + 1)
         d_embed = np.zeros_like(w["embed"])
         d_embed[same[first]] = np.add.reduceat(flat(dx).take(by, 0), first, axis=0)
-        late = flat(x[:, WINDOW - STRIDE :])
-        parts = {"embed": d_embed, "place": dx.sum(0), "query": late.T @ flat(dq) * self.scale, "key": flat(x).T @ flat(dk), "value": flat(x).T @ flat(dv), "first": d_first, "second": d_second}
-        np.concatenate([parts[n].ravel() for n in self.SHAPES], out=g)
-        return g
+        all_x, late = flat(x), flat(x[:, WINDOW - STRIDE :])
+        parts = {"embed": d_embed, "place": dx.sum(0), "query": late.T @ flat(dq) * self.scale, "key": all_x.T @ flat(dk), "value": all_x.T @ flat(dv), "first": d_first, "second": d_second}
+        return np.concatenate([parts[n].ravel() for n in self.SHAPES])
 
     def train(self, batches: list[tuple], steps: int, done: float = 0.0, share: float = 1.0) -> int:
         """Adam over the batches, about ``steps`` of them; the rate falls from where ``done`` of the training is behind by ``share`` of it.  Returns the number of targets seen."""
