@@ -7,8 +7,9 @@ ids and counts, and its documents as word numbers.  From that table come
   its words in a shuffle and no vocabulary is broadcast;
 * the model of subword ids: a self-attention layer whose output is added to a bigram term counted over all learning documents.  Ids are numbered by
   frequency; the first ``GROUPS`` or so have a number of their own.  The softmax over the numbers has two levels of ``SIDE``, and numbers that follow
-  alike share an upper one.  The layer is trained in numpy on every window of all learning documents, a part of the windows each round; tasks train on
-  their own chunks and their weights are averaged after each round, so the number of trainers grows with the corpus;
+  alike share an upper one.  The layer is trained in numpy on all learning documents: each chunk's are strung together and cut into windows, and each round
+  takes a part of them, until each id was a target once.  The last round trains the output only.  Tasks train on their own chunks and weights are averaged after each round, so the
+  number of trainers grows with the corpus;
 * the score: a word's probability mixes the model's (the product over its ids) with the word's count, discounted, where the rest again goes by the model.
 
 Scoring cuts a document's ids into windows of ``WINDOW`` that overlap; each window scores its last ``STRIDE`` ids, so each id is scored once.
@@ -16,25 +17,29 @@ What goes to the driver and back are ``GROUPS`` * ``GROUPS`` counts, one count a
 """
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.pieces import MARK, Pieces, parse
 from millrace.llm.scratch import cut
-from millrace.llm.words import utf8, words
 
 CHUNK_BYTES = 1 << 23
 #: Numbers of ids: 0 the end, then the most frequent ids, then ``SHARED`` for all others, by whether they begin a word and by their first letter.
 GROUPS, SHARED, SIDE = 1024, 16, 32
 WINDOW, STRIDE, WIDTH = 32, 24, 16
+#: Distinct words of chunks that one task sums up, about.
+WORD_ROWS = 1 << 20
 #: Each round trains on one of so many parts of all windows; windows of a step, and when scoring; the rate at first, and the share it loses.
-ROUNDS, STEP, BATCH = 2, 128, 256
-RATE, DECAY = 2.4e-2, 0.9
+ROUNDS, STEP, BATCH = 3, 128, 256
+RATE, DECAY = 3.2e-2, 0.9
+#: Documents that a trainer strings together.
+TRAINED = 4096
 #: Bound of a query's and a key's components, which keeps the exponentials finite.
 REACH = 2.0
 #: Weight of the shorter context's distribution against counts.
@@ -48,68 +53,75 @@ def is_held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they come."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """Bytes of whole numbers, the lowest of all first, then the next: as high ones are mostly zero, that is easily compressed."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
 
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(data, np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-#: A chunk's columns besides its name and ids; binary ones hold arrays of int32 (counts int64).
-_CHUNK = [("held", pa.binary()), ("sizes", pa.binary()), ("words_at", pa.binary()), ("word", pa.list_(pa.binary())), ("n", pa.list_(pa.int64())), ("n_pieces", pa.binary()), ("pieces", pa.binary())]
+
+def _numbered_words(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, number of each word of all texts, words of each text); see :mod:`millrace.llm.words` for what a word is."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.concat_arrays(texts)))
+    flat, sizes = split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    some = pc.not_equal(flat, "")  # white space at an end leaves an empty string
+    of_text = np.repeat(np.arange(len(sizes)), sizes)[some.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(some).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.bincount(of_text, minlength=len(sizes)).astype(np.int32)
+
+
+#: A chunk's columns besides its name and ids; binary ones hold arrays of int32.
+_CHUNK = ["held", "sizes", "words_at", "word", "n", "n_pieces", "pieces"]
 
 
 def _coder(model: bytes, id_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part, made = Pieces(model), TaskContext.get().partitionId(), 0
         unknown = np.array([pieces.model.unk], np.int32).tobytes()
-        number, ids, held, found, size = _Numbers(), [], [], [], 0
+        ids, held, texts, size = [], [], [], 0
 
         def chunk() -> pa.RecordBatch:
-            own, sizes, out = list(number), np.array([len(x) for x in found], np.int32), np.concatenate(held)
+            word, at, sizes = _numbered_words(texts)
+            out, own = np.concatenate(held), word.cast(pa.binary()).to_pylist()
             coded = [x or unknown for x in pieces.word_ids([w.decode("utf-8", "replace") for w in own])]
-            at = np.concatenate(found)
             counts = np.bincount(at[np.repeat(~out, sizes)], minlength=len(own)).astype(np.int64)
             one = pa.concat_arrays(ids)
-            columns = [
-                pa.array([f"{part}-{made}"]),
-                pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one),
-                *(pa.array([x.tobytes()], pa.binary()) for x in (out, sizes, at)),
-                pa.array([own], pa.list_(pa.binary())),
-                pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(counts)),
-                pa.array([np.array([len(x) // 4 for x in coded], np.int32).tobytes()], pa.binary()),
-                pa.array([b"".join(coded)], pa.binary()),
-            ]
-            return pa.record_batch(columns, ["chunk", "ids", *(c for c, _ in _CHUNK)])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (one, word.cast(pa.binary()), pa.array(counts))]
+            n_pieces = np.array([len(x) // 4 for x in coded], np.int32)
+            packed = [out.tobytes(), _planes(sizes), _planes(at), n_pieces.tobytes(), b"".join(coded)]
+            held_, sizes_, at_, n_, pieces_ = (pa.array([x], pa.binary()) for x in packed)
+            return pa.record_batch([pa.array([part << 32 | made], pa.int64()), lists[0], held_, sizes_, at_, lists[1], lists[2], n_, pieces_], ["chunk", "ids", *_CHUNK])
 
         for b in batches:
-            texts, begin = utf8(b), 0
+            text = b.column("text").cast(pa.string())
+            length = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+            begin = 0
             for i in range(b.num_rows):
-                text = texts[i].as_py()
-                found.append(np.fromiter(map(number.__getitem__, words(text)), np.int32))
-                size += len(text or b"")
+                size += int(length[i])
                 if size >= CHUNK_BYTES or i + 1 == b.num_rows:
                     ids.append(b.column("id").slice(begin, i + 1 - begin))
                     held.append(np.asarray(b.column("held").slice(begin, i + 1 - begin).to_numpy(zero_copy_only=False), bool))
+                    texts.append(text.slice(begin, i + 1 - begin))
                     begin = i + 1
                 if size >= CHUNK_BYTES:
                     yield chunk()
-                    number, ids, held, found, size, made = _Numbers(), [], [], [], 0, made + 1
-        if found:
+                    ids, held, texts, size, made = [], [], [], 0, made + 1
+        if held:
             yield chunk()
 
-    return run, f"chunk string, ids array<{id_type}>, held binary, sizes binary, words_at binary, word array<binary>, n array<long>, n_pieces binary, pieces binary"
+    return run, f"chunk long, ids array<{id_type}>, held binary, sizes binary, words_at binary, word array<binary>, n array<long>, n_pieces binary, pieces binary"
 
 
 class Chunk:
-    """A row of the chunk table, as far as its columns are given."""
+    """A row of the chunk table; the end is the word with the last number."""
 
     def __init__(self, row: dict, end_id: int):
-        """Subword ids of all documents can be read by :meth:`documents`; the end is the last word and has the last number."""
-        self.sizes = np.frombuffer(row["sizes"], np.int32)
+        self.sizes = _from_planes(row["sizes"], np.int32)
         self.held = np.frombuffer(row["held"], bool)
-        self.at = np.frombuffer(row["words_at"], np.int32)
+        self.at = _from_planes(row["words_at"], np.int32)
         self.begin = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         n = np.frombuffer(row["n_pieces"], np.int32).astype(np.int64)
         self.end = len(n)
@@ -117,15 +129,18 @@ class Chunk:
         self.first = np.cumsum(self.n_pieces) - self.n_pieces
         self.pieces = np.append(np.frombuffer(row["pieces"], np.int32), np.int32(end_id))
 
-    def words_of(self, i: int) -> np.ndarray:
-        """Numbers of a document's words and of the end."""
-        return np.append(self.at[self.begin[i] : self.begin[i] + self.sizes[i]], self.end)
+    def words_of(self, docs: Sequence[int]) -> np.ndarray:
+        """Numbers of the documents' words, the end behind each document."""
+        parts = []
+        for i in docs:
+            parts += [self.at[self.begin[i] : self.begin[i] + self.sizes[i]], [self.end]]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     def flat(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of these words, how many each has)."""
-        n = self.n_pieces[numbers]
+        n = self.n_pieces.take(numbers)
         before = np.cumsum(n) - n
-        return self.pieces[np.repeat(self.first[numbers] - before, n) + np.arange(int(n.sum()))], n
+        return self.pieces.take(np.repeat(self.first.take(numbers) - before, n) + np.arange(int(n.sum()))), n
 
 
 _TEXT = ["held", "sizes", "words_at", "n_pieces", "pieces"]
@@ -140,34 +155,36 @@ def _chunks(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[Chunk]:
 # ---- model ------------------------------------------------------------------------------------------------------------------
 
 
-def windows(inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's numbers as inputs and as targets (the last is its end): the inputs (n, WINDOW) of its windows, the targets
-    (n, STRIDE) of their last positions, and which targets count.  An input is the number before; in front of the text stands the end, 0."""
-    n = -(-len(targets) // STRIDE)
-    padded = np.zeros(n * STRIDE + WINDOW - STRIDE, np.int64)
-    padded[WINDOW - STRIDE + 1 : WINDOW - STRIDE + len(inputs)] = inputs[:-1]
-    target = np.zeros(n * STRIDE, np.int64)
-    target[: len(targets)] = targets
-    view = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
-    counted = np.zeros(n * STRIDE, bool)
-    counted[: len(targets)] = True
-    return view, target.reshape(n, STRIDE), counted.reshape(n, STRIDE)
-
-
-def batched(documents: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> Iterator[tuple]:
-    """Windows of documents put together, ``size`` at a time: inputs, targets, which count."""
-    held, n = [], 0
-    for w in documents:
-        held.append(w)
-        n += len(w[0])
-        if n >= size:
-            x = [np.concatenate(y) for y in zip(*held)]
-            whole = n - n % size
-            for i in range(0, whole, size):
-                yield tuple(y[i : i + size] for y in x)
-            held, n = [tuple(y[whole:] for y in x)], n - whole
-    if n:
-        yield tuple(np.concatenate(y) for y in zip(*held))
+class Layout:
+    """Windows of documents that have so many ids each: where ids go as targets, and as inputs of the id after them."""
+
+    def __init__(self, length: np.ndarray):
+        front = WINDOW - STRIDE
+        windows = -(-length // STRIDE)
+        before, docs = np.cumsum(windows) - windows, np.arange(len(length))
+        nth = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        at = before * STRIDE + front * docs  # in front of a text stands the end, 0
+        self.n = int(windows.sum())
+        self.targets = np.repeat(before * STRIDE, length) + nth
+        self.inputs = np.repeat(at + front + 1, length) + nth  # a document's last id, the end, falls on a 0 or beyond it
+        self.starts = np.repeat(at, windows) + STRIDE * (np.arange(self.n) - np.repeat(before, windows))
+
+    def windows(self, number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs (windows, WINDOW), target places (windows, STRIDE)) of the documents' ids."""
+        row = np.zeros(int(self.starts[-1]) + 2 * WINDOW if self.n else 0, np.int64)
+        row[self.inputs] = number
+        target = np.zeros(self.n * STRIDE, np.int64)
+        target[self.targets] = place
+        return row.take(self.starts[:, None] + np.arange(WINDOW)), target.reshape(-1, STRIDE)
+
+
+def stream(number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of documents strung together, cut into windows (n, WINDOW) in which every id is a target: inputs, target places, which count."""
+    n = -(-len(number) // WINDOW)
+    inputs, target = np.zeros((2, n * WINDOW), np.int64)
+    inputs[1 : len(number)] = number[:-1]
+    target[: len(number)] = place
+    return inputs.reshape(n, WINDOW), target.reshape(n, WINDOW), (np.arange(n * WINDOW) < len(number)).reshape(n, WINDOW)
 
 
 def numbered(pieces: list, counts: np.ndarray, end_id: int) -> np.ndarray:
@@ -229,21 +246,21 @@ class Attention:
             self.w[k] = self.flat[at : at + math.prod(s)].reshape(s)
             at += math.prod(s)
         self.first, self.second = first.astype(kind, copy=False), second.astype(kind, copy=False)
-        late = np.arange(WINDOW - STRIDE, WINDOW)
-        self.causal = (np.arange(WINDOW)[None] <= late[:, None]).astype(kind)
+        self.causal = np.tril(np.ones((WINDOW, WINDOW), kind))
         self.scale, self.one = kind(1 / math.sqrt(WIDTH)), np.ones((SIDE, 1), kind)
 
-    def _hidden(self, inputs: np.ndarray) -> tuple:
+    def _hidden(self, inputs: np.ndarray, front: int) -> tuple:
+        """Of all positions but the first ``front``."""
         w = self.w
         x = w["embed"].take(inputs, 0)
         x += w["place"]
-        late = x[:, WINDOW - STRIDE :]
+        late = x[:, front:]
         q, k = late @ (w["query"] * self.scale), x @ w["key"]
         v = np.ones((len(x), WINDOW, WIDTH + 1), x.dtype)  # the last column sums the weights up
         v[..., :WIDTH] = x @ w["value"]
         a = np.clip(q, -REACH, REACH, out=q) @ np.clip(k, -REACH, REACH, out=k).transpose(0, 2, 1)
         np.exp(a, out=a)
-        a *= self.causal
+        a *= self.causal[front:]
         both = a @ v
         total = both[..., WIDTH:]
         y = both[..., :WIDTH] / total
@@ -274,20 +291,21 @@ class Attention:
         return e, total
 
     def log_likelihood(self, inputs: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of each target place's probability, (windows, STRIDE)."""
+        """Natural log of each target place's probability; targets (windows, n) stand at the last n positions."""
+        front = WINDOW - target.shape[1]
         place, rows = target.ravel(), np.arange(target.size)
-        s1, s2, up, order, *_ = self._scores(self._hidden(inputs)[-1], inputs[:, WINDOW - STRIDE :].ravel(), place)
+        s1, s2, up, order, *_ = self._scores(self._hidden(inputs, front)[-1], inputs[:, front:].ravel(), place)
         total1, total2 = self._totals(s1)[1], self._totals(s2)[1]
         out = s1[rows, up] - np.log(total1)[:, 0]
         out[order] += s2[rows, (place % SIDE).take(order)] - np.log(total2)[:, 0]
         return out.reshape(target.shape)
 
-    def gradient(self, inputs: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        """Of the mean of the counted targets' negative log probability, by all weights."""
-        w = self.w
-        x, q, k, v, a, total, y, h = self._hidden(inputs)
+    def gradient(self, inputs: np.ndarray, target: np.ndarray, counted: np.ndarray, whole: bool = True) -> np.ndarray:
+        """Of the mean of the counted targets' negative log probability, by all weights or by those of the output, the last of all."""
+        w, front = self.w, WINDOW - target.shape[1]
+        x, q, k, v, a, total, y, h = self._hidden(inputs, front)
         place, rows = target.ravel(), np.arange(target.size)
-        s1, s2, up, order, edges, sorted_h = self._scores(h, inputs[:, WINDOW - STRIDE :].ravel(), place)
+        s1, s2, up, order, edges, sorted_h = self._scores(h, inputs[:, front:].ravel(), place)
         share = counted.reshape(-1).astype(self.flat.dtype)
         share /= max(1, int(counted.sum()))
         p1, n1 = self._totals(s1)
@@ -302,7 +320,10 @@ class Attention:
             if e > b:
                 own = p2[b:e]
                 np.matmul(sorted_h[b:e].T, own, out=d_second[i])
-                np.matmul(own, w["second"][i].T, out=d_sorted[b:e])
+                if whole:
+                    np.matmul(own, w["second"][i].T, out=d_sorted[b:e])
+        if not whole:
+            return np.concatenate([(h.T @ p1).ravel(), d_second.ravel()])
         back = np.empty_like(order)
         back[order] = rows
         dh = p1 @ w["first"].T
@@ -320,34 +341,35 @@ class Attention:
         dx = dk @ w["key"].T
         dx += dv @ w["value"].T
         dh += dq @ (w["query"].T * self.scale)
-        dx[:, WINDOW - STRIDE :] += dh
+        dx[:, front:] += dh
         numbers = inputs.astype(np.int16).ravel()
         by = np.argsort(numbers, kind="stable")
         same = numbers.take(by)
         first = np.append(0, np.flatnonzero(same[1:] != same[:-1]) + 1)
         d_embed = np.zeros_like(w["embed"])
         d_embed[same[first]] = np.add.reduceat(flat(dx).take(by, 0), first, axis=0)
-        all_x, late = flat(x), flat(x[:, WINDOW - STRIDE :])
+        all_x, late = flat(x), flat(x[:, front:])
         parts = {"embed": d_embed, "place": dx.sum(0), "query": late.T @ flat(dq) * self.scale, "key": all_x.T @ flat(dk), "value": all_x.T @ flat(dv), "first": d_first, "second": d_second}
         return np.concatenate([parts[n].ravel() for n in self.SHAPES])
 
-    def train(self, batches: list[tuple], steps: int, done: float = 0.0, share: float = 1.0) -> int:
-        """Adam over the batches, about ``steps`` of them; the rate falls from where ``done`` of the training is behind by ``share`` of it.  Returns the number of targets seen."""
-        m, v, seen, one = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, self.flat.dtype.type
-        for step, (inputs, target, counted) in enumerate(batches, 1):
-            g = self.gradient(inputs, target, counted)
-            seen += int(counted.sum())
+    def train(self, inputs: np.ndarray, target: np.ndarray, counted: np.ndarray, done: float = 0.0, share: float = 1.0, whole: bool = True) -> int:
+        """Adam over the windows, ``STEP`` at a time; the rate falls from where ``done`` of the training is behind by ``share`` of it.  Returns the number of targets."""
+        own = self.flat if whole else self.flat[-(self.w["first"].size + self.w["second"].size) :]
+        m, v, one = np.zeros_like(own), np.zeros_like(own), own.dtype.type
+        for step, at in enumerate(range(0, len(inputs), STEP), 1):
+            some = slice(at, at + STEP)
+            g = self.gradient(inputs[some], target[some], counted[some], whole)
             m *= one(0.9)
             m += one(0.1) * g
             v *= one(0.98)
             v += one(0.02) * np.square(g, out=g)
-            rate = RATE * (1 - DECAY * (done + share * min(1.0, step / max(1, steps))))
+            rate = RATE * (1 - DECAY * (done + share * at / len(inputs)))
             np.sqrt(v, out=g)
             g += one(1e-8 * math.sqrt(1 - 0.98**step))
             np.divide(m, g, out=g)
             g *= one(rate * math.sqrt(1 - 0.98**step) / (1 - 0.9**step))
-            self.flat -= g
-        return seen
+            own -= g
+        return int(counted.sum())
 
 
 def _packed(rows: DataFrame, width: int) -> np.ndarray:
@@ -395,8 +417,7 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> dict[str, np.nda
             learn = np.flatnonzero(~c.held)
             times = np.zeros(c.end + 1)
             for at in range(0, len(learn), 1024):  # where words meet: the last piece of one and the first of the next
-                at = [c.words_of(i) for i in learn[at : at + 1024]]
-                flat = np.concatenate([[c.end], *at])
+                flat = np.append(c.end, c.words_of(learn[at : at + 1024]))
                 times += np.bincount(flat[1:], minlength=c.end + 1)
                 last, first = own[c.first + c.n_pieces - 1], own[c.first]
                 total += np.bincount(last[flat[:-1]] * GROUPS + first[flat[1:]], minlength=len(total))
@@ -430,14 +451,11 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> dict[str, np.nda
             m, seen = shipped.value, 0
             own = Attention(m["first"], m["second"], begun.value)
             for c in _chunks(batches, end_id):
-
-                def part(c: Chunk = c) -> Iterator[tuple]:
-                    for i in np.flatnonzero(~c.held).tolist():
-                        ids = c.flat(c.words_of(i))[0]
-                        yield tuple(x[(turn + i) % ROUNDS :: ROUNDS] for x in windows(m["number"][ids], m["place"][ids]))
-
-                steps = int(c.n_pieces[c.at].sum()) // (STRIDE * ROUNDS * STEP)
-                seen += own.train(batched(part(), STEP), steps, turn / ROUNDS, 1 / ROUNDS)
+                learn = np.flatnonzero(~c.held)
+                for at in range(0, len(learn), TRAINED):  # so many documents are held as ids at once
+                    ids = c.flat(c.words_of(learn[at : at + TRAINED]))[0]
+                    mine = [x[turn::ROUNDS] for x in stream(m["number"][ids], m["place"][ids])]
+                    seen += own.train(*mine, turn / ROUNDS, 1 / ROUNDS, whole=turn + 1 < ROUNDS)
             if seen:
                 yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["seen", "w"])
 
@@ -451,20 +469,41 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> dict[str, np.nda
     return {"first": first, "second": second, "number": number, "place": place, "own": np.log((unigram + 0.5) / total[number]), "flat": attention.flat}
 
 
-def _id_scores(c: Chunk, docs: list[int], m: dict, attention: Attention, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def _id_scores(c: Chunk, docs: Sequence[int], m: dict, attention: Attention) -> tuple[np.ndarray, np.ndarray]:
     """Of some documents of a chunk: the numbers of their words with the ends, and each word's natural log probability by the model."""
-    per_doc = [c.words_of(i) for i in docs]
-    numbers = np.concatenate(per_doc)
+    numbers = c.words_of(docs)
     ids, n = c.flat(numbers)
-    stop = np.flatnonzero(np.repeat(numbers == c.end, n)) + 1  # behind the end of each document
-    number, place = m["number"][ids], m["place"][ids]
-    cuts = list(zip(np.r_[0, stop[:-1]].tolist(), stop.tolist()))
-    got = [attention.log_likelihood(x, t)[y] for x, t, y in batched((windows(number[a:b], place[a:b]) for a, b in cuts), BATCH)]
-    sums = np.r_[0.0, np.cumsum(np.concatenate(got).astype(float) + m["own"][ids])]
     ends = np.cumsum(n)
+    last = ends[numbers == c.end]
+    layout = Layout(np.diff(last, prepend=0))
+    inputs, target = layout.windows(m["number"].take(ids), m["place"].take(ids))
+    got = np.concatenate([attention.log_likelihood(inputs[i : i + BATCH], target[i : i + BATCH]) for i in range(0, len(inputs), BATCH)])
+    sums = np.append(0.0, np.cumsum(got.ravel().take(layout.targets).astype(float) + m["own"].take(ids)))
     return numbers, sums[ends] - sums[ends - n]
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, i, word, n) that hold all of their words to the sums, packed by chunk: (chunk, i, c), and a row with the sum of all and the number of words that count."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    word = rows.column("word").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    total = np.zeros(int(word.max()) + 1, np.int64)
+    np.add.at(total, word, rows.column("n").to_numpy())
+    chunk = rows.column("chunk").to_numpy()
+    order = np.argsort(chunk, kind="stable")
+    first = np.append(0, np.flatnonzero(np.diff(chunk[order])) + 1)
+    i, c = rows.column("i").to_numpy()[order].astype(np.int32), total[word[order]]
+    parts = list(zip(first.tolist(), [*first[1:].tolist(), len(order)]))
+    names = ["chunk", "i", "c", "n", "v"]
+    for at in range(0, len(parts), 256):
+        some = parts[at : at + 256]
+        columns = [pa.array([int(chunk[order[a]]) for a, _ in some], pa.int64()), *(pa.array([_planes(x[a:b]) for a, b in some], pa.binary()) for x in (i, c)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())]
+        yield pa.record_batch(columns, names)
+    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])], names)
+
+
 def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -478,12 +517,14 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     id_type = src.schema["id"].dataType.simpleString()
     run, schema = _coder(model, id_type)
     coded = cut(src.mapInArrow(run, schema), "coded")
+    size = coded.agg(F.coalesce(F.sum(F.size("word")), F.lit(0)).alias("rows")).first()["rows"]
     listed = coded.select("chunk", F.posexplode(F.arrays_zip("word", "n")).alias("i", "w")).select("chunk", "i", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
-    counts = cut(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    # a word has one row in a chunk, so none has many of all rows
+    known = cut(listed.repartition(max(1, -(-size // WORD_ROWS)), "word").mapInArrow(_word_counts, "chunk long, i binary, c binary, n long, v long"), "word-counts")
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     ends = src.where("not held").count()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
-    of_chunk = listed.select(F.col("chunk").alias("owner"), "i", "word").join(counts, "word").select("owner", "i", "c")
+    of_chunk = known.where("chunk is not null").select(F.col("chunk").alias("owner"), "i", "c")
     # a bounded set of arrays, whatever the corpus
     shipped = coded.sparkSession.sparkContext.broadcast(train_model(coded, model, end_id))
 
@@ -493,26 +534,27 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         row = {c: left.column(c)[0].as_py() for c in _TEXT}
         c, ids = Chunk(row, end_id), left.column("ids")[0].values
         many = np.zeros(c.end + 1, np.int64)
-        many[right.column("i").to_numpy()] = right.column("c").to_numpy()
+        for i, counts in zip(right.column("i").to_pylist(), right.column("c").to_pylist()):
+            many[_from_planes(i, np.int32)] = _from_planes(counts, np.int64)
         many[c.end] = ends
         value = np.log10(many + 1.0) - math.log10(n + v + 1)
         with np.errstate(divide="ignore"):
             counted = np.log(WORDS * np.maximum(many - DISCOUNT, 0) / max(1, n))
         rest = math.log(1 - WORDS + WORDS * DISCOUNT * v / max(1, n))
         tokens = c.sizes + 1
-        base, known, mixed = [], [], []
+        base, seen, mixed = [], [], []
         bound = np.cumsum(tokens, dtype=np.int64)
         at = 0
-        while at < len(tokens):  # about 100,000 words at once, or one document
-            stop = max(at + 1, int(np.searchsorted(bound, bound[at] + 100_000)))
-            numbers, own = _id_scores(c, list(range(at, stop)), m, attention, end_id)
-            begin = np.r_[0, np.cumsum(tokens[at : stop - 1], dtype=np.int64)]
-            base.append(np.add.reduceat(value[numbers], begin))
-            known.append(np.add.reduceat((many > 0)[numbers].astype(np.int64), begin))
-            mixed.append(np.add.reduceat(np.logaddexp(counted[numbers], rest + own), begin) / math.log(10))
+        while at < len(tokens):  # about 50,000 words at once, or one document
+            stop = max(at + 1, int(np.searchsorted(bound, bound[at] + 50_000)))
+            numbers, own = _id_scores(c, range(at, stop), m, attention)
+            begin = np.append(0, np.cumsum(tokens[at : stop - 1], dtype=np.int64))
+            base.append(np.add.reduceat(value.take(numbers), begin))
+            seen.append(np.add.reduceat((many > 0).take(numbers).astype(np.int64), begin))
+            mixed.append(np.add.reduceat(np.logaddexp(counted.take(numbers), rest + own), begin) / math.log(10))
             at = stop
         rows = len(tokens)
-        return pa.table({"id": ids, "held_out": pa.array(c.held), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": np.concatenate(known), "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": np.concatenate(base), "score": np.concatenate(mixed)})
+        return pa.table({"id": ids, "held_out": pa.array(c.held), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": np.concatenate(seen), "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": np.concatenate(base), "score": np.concatenate(mixed)})
 
     out = coded.select("chunk", "ids", *_TEXT).groupBy("chunk").cogroup(of_chunk.groupBy("owner")).applyInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
