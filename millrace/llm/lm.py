@@ -35,6 +35,8 @@ GROUPS, SHARED, SIDE = 1024, 16, 32
 WINDOW, STRIDE, WIDTH = 32, 24, 16
 #: Distinct words of chunks that one task sums up, about.
 WORD_ROWS = 1 << 20
+#: Factor of the hash by which words are dealt.
+SPREAD = 0x9E3779B97F4A7C15
 #: Each round trains on one of so many parts of all windows; windows of a step, and when scoring; the rate at first, and the share it loses.
 ROUNDS, STEP, BATCH = 3, 128, 256
 RATE, DECAY = 3.2e-2, 0.9
@@ -73,27 +75,48 @@ def _numbered_words(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.nda
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.bincount(of_text, minlength=len(sizes)).astype(np.int32)
 
 
-#: A chunk's columns besides its name and ids; binary ones hold arrays of int32.
-_CHUNK = ["held", "sizes", "words_at", "word", "n", "n_pieces", "pieces"]
+def _bytes_of(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """(the bytes of all words, the length of each) of an array that begins at its buffers' start."""
+    words = pa.concat_arrays([words.cast(pa.binary())])
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    return (words.buffers()[2].to_pybytes()[: offsets[-1]] if len(words) else b""), np.diff(offsets)
+
+
+def _word_hash(data: bytes, lengths: np.ndarray) -> np.ndarray:
+    """A number below 2 ** 24 for each word, by its bytes."""
+    if not len(lengths):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    nth = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+    powers = np.cumprod(np.full(1 << 12, SPREAD, np.uint64))
+    h = np.add.reduceat((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[nth & 4095], ends - lengths)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(SPREAD)
+    return (h >> np.uint64(40)).astype(np.int64)
+
+
+#: A chunk's columns besides its name and ids: words are put together, in the order of their hashes; others hold arrays of int32.
+_CHUNK = ["held", "sizes", "words_at", "word", "length", "n", "n_pieces", "pieces"]
 
 
 def _coder(model: bytes, id_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part, made = Pieces(model), TaskContext.get().partitionId(), 0
-        unknown = np.array([pieces.model.unk], np.int32).tobytes()
         ids, held, texts, size = [], [], [], 0
 
         def chunk() -> pa.RecordBatch:
             word, at, sizes = _numbered_words(texts)
-            out, own = np.concatenate(held), word.cast(pa.binary()).to_pylist()
-            coded = [x or unknown for x in pieces.word_ids([w.decode("utf-8", "replace") for w in own])]
-            counts = np.bincount(at[np.repeat(~out, sizes)], minlength=len(own)).astype(np.int64)
+            order = np.argsort(_word_hash(*_bytes_of(word)), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            word, at, out = word.take(pa.array(order)), rank[at], np.concatenate(held)
+            data, length = _bytes_of(word)
+            counts = np.bincount(at[np.repeat(~out, sizes)], minlength=len(word)).astype(np.int32)
+            flat, n_pieces = pieces.encode_words(word)
             one = pa.concat_arrays(ids)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (one, word.cast(pa.binary()), pa.array(counts))]
-            n_pieces = np.array([len(x) // 4 for x in coded], np.int32)
-            packed = [out.tobytes(), _planes(sizes), _planes(at), n_pieces.tobytes(), b"".join(coded)]
-            held_, sizes_, at_, n_, pieces_ = (pa.array([x], pa.binary()) for x in packed)
-            return pa.record_batch([pa.array([part << 32 | made], pa.int64()), lists[0], held_, sizes_, at_, lists[1], lists[2], n_, pieces_], ["chunk", "ids", *_CHUNK])
+            packed = [out.tobytes(), _planes(sizes), _planes(at), data, _planes(length), _planes(counts), _planes(n_pieces.astype(np.int32)), _planes(flat)]
+            columns = [pa.array([part << 32 | made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one), *(pa.array([x], pa.binary()) for x in packed)]
+            return pa.record_batch(columns, ["chunk", "ids", *_CHUNK])
 
         for b in batches:
             text = b.column("text").cast(pa.string())
@@ -112,7 +135,7 @@ def _coder(model: bytes, id_type: str):
         if held:
             yield chunk()
 
-    return run, f"chunk long, ids array<{id_type}>, held binary, sizes binary, words_at binary, word array<binary>, n array<long>, n_pieces binary, pieces binary"
+    return run, f"chunk long, ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in _CHUNK)
 
 
 class Chunk:
@@ -123,11 +146,11 @@ class Chunk:
         self.held = np.frombuffer(row["held"], bool)
         self.at = _from_planes(row["words_at"], np.int32)
         self.begin = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        n = np.frombuffer(row["n_pieces"], np.int32).astype(np.int64)
+        n = _from_planes(row["n_pieces"], np.int32).astype(np.int64)
         self.end = len(n)
         self.n_pieces = np.append(n, 1)
         self.first = np.cumsum(self.n_pieces) - self.n_pieces
-        self.pieces = np.append(np.frombuffer(row["pieces"], np.int32), np.int32(end_id))
+        self.pieces = np.append(_from_planes(row["pieces"], np.int32), np.int32(end_id))
 
     def words_of(self, docs: Sequence[int]) -> np.ndarray:
         """Numbers of the documents' words, the end behind each document."""
@@ -399,9 +422,9 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> dict[str, np.nda
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_ids)
         for b in batches:
-            for n, length, flat, held in zip(b.column("n"), b.column("n_pieces").to_pylist(), b.column("pieces").to_pylist(), b.column("held").to_pylist()):
-                each = np.repeat(n.values.to_numpy(), np.frombuffer(length, np.int32))
-                total += np.bincount(np.frombuffer(flat, np.int32), each, n_ids)
+            for n, many, flat, held in zip(*(b.column(c).to_pylist() for c in ("n", "n_pieces", "pieces", "held"))):
+                each = np.repeat(_from_planes(n, np.int32), _from_planes(many, np.int32))
+                total += np.bincount(_from_planes(flat, np.int32), each, n_ids)
                 total[end_id] += len(held) - np.frombuffer(held, bool).sum()
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some].astype(np.int64))], ["i", "n"])
@@ -482,26 +505,37 @@ def _id_scores(c: Chunk, docs: Sequence[int], m: dict, attention: Attention) ->
     return numbers, sums[ends] - sums[ends - n]
 
 
+def _dealt_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's words in ``parts`` parts by hash, which lie one behind the other: (part, chunk, first word's number, words, lengths, n)."""
+    for b in batches:
+        for chunk, data, length, n in zip(*(b.column(c).to_pylist() for c in ("chunk", "word", "length", "n"))):
+            length, n = _from_planes(length, np.int32), _from_planes(n, np.int32)
+            part = _word_hash(data, length) * parts >> 24
+            begin = np.append(0, np.cumsum(length, dtype=np.int64))
+            edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+            rows = [(int(part[i]), chunk, i, data[begin[i] : begin[j]], _planes(length[i:j]), _planes(n[i:j])) for i, j in zip(edges.tolist(), edges[1:].tolist())]
+            if rows:
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["part", "chunk", "first", "word", "length", "n"])
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, i, word, n) that hold all of their words to the sums, packed by chunk: (chunk, i, c), and a row with the sum of all and the number of words that count."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
+    """Rows of :func:`_dealt_words` that hold all parts of their words to the sums: (chunk, first, c), and a row with the sum of all and the number of words that count."""
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("chunk", "first", "word", "length", "n")))]
+    if not rows:
         return
-    rows = pa.Table.from_batches(held)
-    word = rows.column("word").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    total = np.zeros(int(word.max()) + 1, np.int64)
-    np.add.at(total, word, rows.column("n").to_numpy())
-    chunk = rows.column("chunk").to_numpy()
-    order = np.argsort(chunk, kind="stable")
-    first = np.append(0, np.flatnonzero(np.diff(chunk[order])) + 1)
-    i, c = rows.column("i").to_numpy()[order].astype(np.int32), total[word[order]]
-    parts = list(zip(first.tolist(), [*first[1:].tolist(), len(order)]))
-    names = ["chunk", "i", "c", "n", "v"]
-    for at in range(0, len(parts), 256):
-        some = parts[at : at + 256]
-        columns = [pa.array([int(chunk[order[a]]) for a, _ in some], pa.int64()), *(pa.array([_planes(x[a:b]) for a, b in some], pa.binary()) for x in (i, c)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())]
-        yield pa.record_batch(columns, names)
-    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])], names)
+    lengths = [_from_planes(r[3], np.int32) for r in rows]
+    offsets = np.append(0, np.cumsum(np.concatenate(lengths), dtype=np.int64))
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(r[2] for r in rows))])
+    word = words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    total = np.bincount(word, np.concatenate([_from_planes(r[4], np.int32) for r in rows])).astype(np.int64)  # exact below 2 ** 53
+    ends = np.cumsum([len(x) for x in lengths])
+    names = ["chunk", "first", "c", "n", "v"]
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        counts = [_planes(total[word[e - len(x) : e]]) for e, x in zip(ends[at : at + 256].tolist(), lengths[at : at + 256])]
+        yield pa.record_batch([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int32()), pa.array(counts, pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], names)
+    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])], names)
 
 
 def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> DataFrame:
@@ -517,14 +551,15 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     id_type = src.schema["id"].dataType.simpleString()
     run, schema = _coder(model, id_type)
     coded = cut(src.mapInArrow(run, schema), "coded")
-    size = coded.agg(F.coalesce(F.sum(F.size("word")), F.lit(0)).alias("rows")).first()["rows"]
-    listed = coded.select("chunk", F.posexplode(F.arrays_zip("word", "n")).alias("i", "w")).select("chunk", "i", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
+    size = coded.agg(F.coalesce(F.sum(F.octet_length("length")), F.lit(0)).alias("n")).first()["n"] // 4
+    parts = max(1, -(-size // WORD_ROWS))
+    dealt = coded.select("chunk", "word", "length", "n").mapInArrow(lambda x: _dealt_words(x, parts), "part int, chunk long, first int, word binary, length binary, n binary")
     # a word has one row in a chunk, so none has many of all rows
-    known = cut(listed.repartition(max(1, -(-size // WORD_ROWS)), "word").mapInArrow(_word_counts, "chunk long, i binary, c binary, n long, v long"), "word-counts")
+    known = cut(dealt.repartition(parts, "part").mapInArrow(_word_counts, "chunk long, first int, c binary, n long, v long"), "word-counts")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     ends = src.where("not held").count()
     n, v = total["n"] + ends, total["v"] + (ends > 0)
-    of_chunk = known.where("chunk is not null").select(F.col("chunk").alias("owner"), "i", "c")
+    of_chunk = known.where("chunk is not null").select(F.col("chunk").alias("owner"), "first", "c")
     # a bounded set of arrays, whatever the corpus
     shipped = coded.sparkSession.sparkContext.broadcast(train_model(coded, model, end_id))
 
@@ -534,8 +569,9 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         row = {c: left.column(c)[0].as_py() for c in _TEXT}
         c, ids = Chunk(row, end_id), left.column("ids")[0].values
         many = np.zeros(c.end + 1, np.int64)
-        for i, counts in zip(right.column("i").to_pylist(), right.column("c").to_pylist()):
-            many[_from_planes(i, np.int32)] = _from_planes(counts, np.int64)
+        for first, counts in zip(right.column("first").to_pylist(), right.column("c").to_pylist()):
+            counts = _from_planes(counts, np.int64)
+            many[first : first + len(counts)] = counts
         many[c.end] = ends
         value = np.log10(many + 1.0) - math.log10(n + v + 1)
         with np.errstate(divide="ignore"):

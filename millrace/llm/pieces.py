@@ -3,7 +3,8 @@
 The model file's protobuf is parsed here; from it the normaliser, the metaspace marker, the model (unigram scores, or for a
 BPE model its merges, ordered by score) and byte fallback are rebuilt as a ``tokenizers.Tokenizer``.  Texts are cut in front of every run
 of markers.  Where no piece runs on into a following marker (checked when the model is loaded) that changes no result of a BPE model, and equal
-words are encoded once.  ``verify`` compares ids and decoded text with the sentencepiece library.
+words are encoded once.  Unigram models are encoded text by text.  Batches are encoded by several threads.  ``verify`` compares ids and decoded text with the sentencepiece library; ``encode`` can
+do so with a share of its own texts, and stops where they differ.
 """
 
 import re
@@ -14,6 +15,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHED_WORDS = 200_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 64
+#: Threads of the library in a task.
+THREADS = 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -190,6 +194,27 @@ class Pieces:
         own.update(zip(rest, self._backend(rest)))
         return [known.get(w) or own.get(w, b"") for w in marked]
 
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words (strings), each as it is encoded after a space, put together, and how many each has.  A word without any gets the unknown id."""
+        odd = pc.match_substring(words, MARK).to_numpy(zero_copy_only=False)
+        plain = words.filter(pa.array(~odd)) if odd.any() else words
+        flat, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if len(plain) and not self.whole:
+            edges = np.append(np.arange(0, len(plain), 256), len(plain)).astype(np.int32)
+            groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), plain), MARK)
+            try:
+                strung = [MARK + g for g in groups.to_pylist()]
+            except UnicodeDecodeError:
+                strung = []
+            flat = np.concatenate([flat, *(np.array(e.ids, np.int32) for e in self.cutting.encode_batch_fast(strung, add_special_tokens=False))])
+            begins = np.flatnonzero(self.marked[flat])
+            n = np.diff(np.append(begins, len(flat)))
+        if len(n) == len(words):
+            return flat, n
+        coded = self.word_ids([w.decode("utf-8", "replace") for w in words.cast(pa.binary()).to_pylist()])
+        coded = [x or np.array([self.model.unk], np.int32).tobytes() for x in coded]
+        return np.frombuffer(b"".join(coded), np.int32), np.array([len(x) // 4 for x in coded], np.int64)
+
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(texts)]
 
@@ -202,21 +227,21 @@ class Pieces:
         return out
 
 
-def verify(data: bytes, texts: Sequence[str]) -> list[int]:
-    """Numbers of the texts whose ids or decoded text differ from the sentencepiece library's."""
+def verify(data: bytes, texts: Sequence[str], ours: "Pieces | None" = None, theirs=None) -> list[int]:
+    """Numbers of the texts whose ids or decoded text differ from the sentencepiece library's; ``ours`` and ``theirs`` are encoders that are already loaded."""
     import sentencepiece
 
-    theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
-    ours = Pieces(data)
+    ours, theirs = ours or Pieces(data), theirs or sentencepiece.SentencePieceProcessor(model_proto=data)
     a, b = ours.encode(texts), theirs.encode(list(texts), num_threads=1)
     return [i for i, (x, y, s, t) in enumerate(zip(a, b, ours.decode(a), theirs.decode(b))) if x != y or s != t]
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", *, threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", *, threads: int = THREADS, verified: int = 0) -> DataFrame:
     """All rows and columns of ``docs`` and ``token_ids`` (array of int), ``n_tokens`` (long) and ``is_lossless``: whether decoding gives the text back.
 
-    ``model`` is the model file's content; it travels with the tasks.  A null text has null ids, 0 tokens and counts as lossless, an empty one has no ids.
-    Columns of ``docs`` with these names are replaced.
+    ``model`` is the model file's content; it travels with the tasks.  A batch's texts and new words are encoded by ``threads`` threads of the library.  Of every
+    ``verified`` texts (0: of none) that a task encodes, one is encoded and decoded by the sentencepiece library as well; a difference is an error.  A null text has null ids, 0 tokens and counts as
+    lossless, an empty one has no ids.  Texts are read whole; repeated rows are encoded each.  Columns of ``docs`` with these names are replaced.
     """
     new = ["token_ids", "n_tokens", "is_lossless"]
     base = docs.drop(*[c for c in docs.columns if c in new])
@@ -228,12 +253,22 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", *, threads: in
 
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        pieces = Pieces(model)
+        pieces, theirs, seen = Pieces(model), None, 0
+        if verified:
+            import sentencepiece
+
+            theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 texts = [None if t is None else t.decode("utf-8", "replace") for t in utf8(b, f"c{place}").to_pylist()]
                 ids = pieces.encode_packed([t or "" for t in texts])
+                if verified:
+                    some = [t for i, t in enumerate(texts, seen) if t is not None and i % verified == 0]
+                    seen += len(texts)
+                    wrong = verify(model, some, pieces, theirs) if some else []
+                    if wrong:
+                        raise ValueError(f"not what the sentencepiece library gives: {some[wrong[0]][:200]!r}")
                 same = [t is None or t == pieces.decode([np.frombuffer(x, np.int32).tolist()])[0] for t, x in zip(texts, ids)]
                 lengths = np.array([len(x) // 4 for x in ids], np.int64)
                 flat = np.frombuffer(b"".join(ids), np.int32)
