@@ -2,8 +2,9 @@
 
 Unit vectors whose cosine is at least c lie within eps = sqrt(2 - 2 c).  Equal vectors are collapsed, the rest are projected on their leading
 principal directions (a projection never lengthens a distance, so any loss of precision there only costs pruning), cut into grid cells of width eps
-and sorted by cells within their label.  Consecutive intervals of that order become blocks; block pairs whose boxes are further apart than eps are never
-formed, and a pair of blocks is joined by halving both intervals again and again, skipping provably distant halves.  A task
+and sorted by cells within their label.  Consecutive intervals of that order become blocks, ``FAN`` consecutive ones a longer interval, and so on up to the
+whole label.  From the top, an interval is joined with another by joining their parts, and parts whose boxes are further apart than eps go no further: over the table
+for intervals down to blocks, and inside a task by halving two blocks again and again.  A task
 returns for each vector the number of vectors it links with and one link of a spanning forest, not the pairs.
 """
 
@@ -15,13 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
+from millrace.llm.ranks import ranked
 from millrace.llm.scratch import cut
 from millrace.llm.topk import is_usable
 
 #: Principal directions with grid cells.
 DIRECTIONS = 6
-#: Bytes of vectors in a block, about; rows at which an interval is no longer halved.
-BLOCK_BYTES, LEAF = 1 << 19, 128
+#: Bytes of vectors in a block, about; rows at which an interval is no longer halved; parts of an interval of blocks.
+BLOCK_BYTES, LEAF, FAN = 1 << 19, 128, 16
+#: Components that directions are fitted on, at most, and vector lengths for which they are: others take their first components.
+FITTED, LENGTHS = 512, 16
 #: Slack on eps and cosine bounds for rounding in the projection.
 SLACK = 1e-6
 
@@ -44,14 +48,18 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def principal_directions(classes: DataFrame, k: int) -> dict[int, np.ndarray]:
-    """For each vector length d, (d, k) leading eigenvectors of the unit vectors' covariance; d * d sums come to the driver."""
+    """For the commonest vector lengths d, (d, k) leading eigenvectors of the covariance of the unit vectors' first ``FITTED`` components;
+    its sums come to the driver."""
+    common = classes.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(LENGTHS)
+    lengths = {r["dims"] for r in common.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for d, part in _by_length(b):
-                x = np.c_[_unit(_matrix(part.column("vector"))), np.ones(part.num_rows)]
-                sums[d] = sums.get(d, 0) + x.T @ x
+                if d in lengths:
+                    x = np.c_[_unit(_matrix(part.column("vector")))[:, :FITTED], np.ones(part.num_rows)]
+                    sums[d] = sums.get(d, 0) + x.T @ x
         for d, s in sums.items():
             i, j = np.indices(s.shape)
             yield pa.record_batch([pa.array(np.full(s.size, d, np.int32)), pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(s.ravel())], ["dims", "i", "j", "s"])
@@ -60,15 +68,39 @@ def principal_directions(classes: DataFrame, k: int) -> dict[int, np.ndarray]:
     out: dict[int, np.ndarray] = {}
     pdf = total.toPandas()
     for d, part in pdf.groupby("dims"):
-        m = np.zeros((d + 1, d + 1))
+        f = min(int(d), FITTED)
+        m = np.zeros((f + 1, f + 1))
         m[part["i"], part["j"]] = part["s"]
-        n = m[d, d]
-        cov = m[:d, :d] / n - np.outer(m[:d, d], m[:d, d]) / n**2
+        n = m[f, f]
+        cov = m[:f, :f] / n - np.outer(m[:f, f], m[:f, f]) / n**2
         _, vectors = np.linalg.eigh((cov + cov.T) / 2)
-        out[int(d)] = np.ascontiguousarray(vectors[:, ::-1][:, :k])
+        out[int(d)] = np.zeros((int(d), min(k, f)))
+        out[int(d)][:f] = vectors[:, ::-1][:, :k]
     return out
 
 
+def block_pairs(blocks: DataFrame, directions: int, least: float) -> DataFrame:
+    """(x, y), x <= y, of ``blocks`` (block, label, dims, lo, hi, numbered in their order) whose boxes are within ``least`` of each other, in equal labels and dims."""
+    same = ["label", "dims"]
+    placed = ranked(blocks.select("block", *same, "lo", "hi"), same, [F.asc("block")], "block", "at")
+    level = cut(blocks.select("block", *same, "lo", "hi").join(placed, "block").withColumn("at", F.col("at") - 1), "level-0")
+    levels = [level]
+    while (levels[-1].agg(F.max("at")).first()[0] or 0) > 0:
+        sides = [F.array(*[f(F.col(side)[i]) for i in range(directions)]).alias(side) for side, f in (("lo", F.min), ("hi", F.max))]
+        levels.append(cut(levels[-1].groupBy(*same, F.floor(F.col("at") / FAN).alias("at")).agg(*sides), f"level-{len(levels)}"))
+    pairs = levels[-1].select(*same, F.col("at").alias("x"), F.col("at").alias("y"))
+    gap = "aggregate(sequence(0, size(lo) - 1), 0D, (s, i) -> s + power(greatest(0D, lo[i] - xhi[i], xlo[i] - hi[i]), 2))"
+    for number, parts in reversed(list(enumerate(levels[:-1]))):
+        parts = parts.withColumn("of", F.floor(F.col("at") / FAN))
+        one = parts.select(*same, F.col("of").alias("x"), F.col("at").alias("x1"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
+        other = parts.select(*same, F.col("of").alias("y"), F.col("at").alias("y1"), "lo", "hi")
+        met = pairs.join(one, [*same, "x"]).join(other, [*same, "y"]).where((F.col("x1") <= F.col("y1")) & (F.expr(gap) <= least**2))
+        pairs = cut(met.select(*same, F.col("x1").alias("x"), F.col("y1").alias("y")), f"pairs-{number}")
+    number = level.select(*same, "at", "block")
+    x, y = number.withColumnRenamed("at", "x").withColumnRenamed("block", "bx"), number.withColumnRenamed("at", "y").withColumnRenamed("block", "by")
+    return pairs.join(x, [*same, "x"]).join(y, [*same, "y"]).select(F.col("bx").alias("x"), F.col("by").alias("y"))
+
+
 class _Join:
     """Joins two intervals of the epsilon grid order; ``same``: both are one block, and each pair counts once for both ends."""
 
@@ -131,13 +163,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Rows are compared only where labels are equal and not null, and only with vectors of the same length.  Vectors that are null, empty,
     all zero or hold a null or non-finite component link with nothing.  Repeated rows are rows of their own and link with each other; a null id
-    counts as a link of others but is nobody's component_id unless all ids of the component are null.
+    counts as a link of others but is nobody's component_id unless all ids of the component are null; ids may be of any type with an order.
     """
     element = vectors.schema[vector_col].dataType.elementType.simpleString()
     kind = "<f4" if element == "float" else "<f8"
     eps = float(np.sqrt(2 - 2 * cosine))
     raw = vectors[vector_col] if element == "float" else vectors[vector_col].cast("array<double>")
-    src = vectors.select(F.monotonically_increasing_id().alias("uid"), vectors[id_col].cast("long").alias("id"), vectors[label_col].alias("label"), raw.alias("vector"))
+    src = vectors.select(F.monotonically_increasing_id().alias("uid"), vectors[id_col].alias("id"), vectors[label_col].alias("label"), raw.alias("vector"))
     usable = F.col("label").isNotNull() & is_usable(F.col("vector")) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = cut(src.withColumn("usable", usable), "vectors")
     same = ["label", "vector"]
@@ -149,7 +181,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             for d, part in _by_length(b):
                 u = _unit(_matrix(part.column("vector")))
                 p = np.zeros((len(u), directions))
-                p[:, : axes[d].shape[1]] = u @ axes[d]
+                axis = axes.get(d, np.eye(d)[:, :directions])
+                p[:, : axis.shape[1]] = u @ axis
                 cells = np.floor(p / eps).astype(np.int32)
                 keep = [part.column(c) for c in ("label", "dims", "node", "n", "vector")]
                 yield pa.record_batch([*keep, *(pa.array(cells[:, i]) for i in range(directions)), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), directions).cast(pa.list_(pa.float64()))], ["label", "dims", "node", "n", "vector", *(f"g{i}" for i in range(directions)), "p"])
@@ -195,12 +228,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         ordered.mapInArrow(blocked, f"label {label_kind}, dims int, lo array<double>, hi array<double>, nodes binary, counts binary, points binary, vectors binary").withColumn("block", F.monotonically_increasing_id()),
         "blocks",
     )
-    meta = blocks.select("block", "label", "dims", "lo", "hi")
-    cell = lambda bound, by: F.floor((F.col(bound)[0] + by * (eps + SLACK)) / eps).cast("int")
-    left = meta.withColumn("cell", F.explode(F.sequence(cell("lo", -1), cell("hi", 1)))).select("label", "dims", "cell", F.col("block").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
-    right = meta.withColumn("cell", F.explode(F.sequence(cell("lo", 0), cell("hi", 0)))).select("label", "dims", "cell", F.col("block").alias("y"), "lo", "hi")
-    gap = "aggregate(sequence(0, size(lo) - 1), 0D, (s, i) -> s + power(greatest(0D, lo[i] - xhi[i], xlo[i] - hi[i]), 2))"
-    pairs = left.join(right, ["label", "dims", "cell"]).where((F.col("x") <= F.col("y")) & (F.expr(gap) <= (eps + SLACK) ** 2)).select("x", "y").distinct()
+    pairs = block_pairs(blocks, directions, eps + SLACK)
     side = lambda name: blocks.select(F.col("block").alias(name), *([F.col("dims")] if name == "x" else []), *[F.col(c).alias(f"{name}_{c}") for c in ("nodes", "counts", "points", "vectors")])
     tiles = pairs.join(side("x"), "x").join(side("y"), "y")
 

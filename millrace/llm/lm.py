@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.pieces import MARK, Pieces, parse
+from millrace.llm.pieces import MARK, Pieces, parse, prepare
 from millrace.llm.scratch import cut
 
 CHUNK_BYTES = 1 << 23
@@ -38,7 +38,7 @@ WORD_ROWS = 1 << 20
 #: Factor of the hash by which words are dealt.
 SPREAD = 0x9E3779B97F4A7C15
 #: Each round trains on one of so many parts of all windows; windows of a step, and when scoring; the rate at first, and the share it loses.
-ROUNDS, STEP, BATCH = 3, 128, 256
+ROUNDS, STEP, BATCH = 2, 96, 256
 RATE, DECAY = 3.2e-2, 0.9
 #: Documents that a trainer strings together.
 TRAINED = 256
@@ -103,8 +103,10 @@ _CHUNK = ["held", "sizes", "words_at", "word", "length", "n", "n_pieces", "piece
 
 
 def _coder(model: bytes, id_type: str):
+    ready = prepare(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part, made = Pieces(model), TaskContext.get().partitionId(), 0
+        pieces, part, made = Pieces(ready), TaskContext.get().partitionId(), 0
         ids, held, texts, size = [], [], [], 0
 
         def chunk() -> pa.RecordBatch:

@@ -70,6 +70,7 @@ class Model:
     trim_spaces: bool = True
     escape_spaces: bool = True
     unk: int = 0
+    merges: list[tuple[str, str]] = field(default_factory=list)
 
 
 def parse(data: bytes) -> Model:
@@ -104,16 +105,23 @@ def _merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in out]
 
 
+def prepare(data: bytes) -> Model:
+    """A model file's content, read once so that tasks needn't."""
+    m = parse(data)
+    m.merges = _merges(m.pieces) if m.bpe else []
+    return m
+
+
 class Pieces:
-    """Encoder and decoder of one model file's bytes."""
+    """Encoder and decoder of one model: a file's bytes, or what :func:`prepare` made of them."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | Model):
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-        self.model = m = parse(data)
+        self.model = m = prepare(data) if isinstance(data, bytes) else data
         if m.bpe:
             vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
-            inner = models.BPE(vocab=vocab, merges=_merges(m.pieces), unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
+            inner = models.BPE(vocab=vocab, merges=m.merges, unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
         else:
             # pieces that no text may match have names that no text has
             hidden = [(p if kind in (NORMAL, USER, BYTE) else f"\U0010ffff{i}", s, kind) for i, (p, s, kind) in enumerate(m.pieces)]
@@ -261,7 +269,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", *, threads: in
     """
     new = ["token_ids", "n_tokens", "is_lossless"]
     base = docs.drop(*[c for c in docs.columns if c in new])
-    names, place = base.columns, base.columns.index(text_col)
+    names, place, ready = base.columns, base.columns.index(text_col), prepare(model)
     src = base.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +277,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", *, threads: in
 
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        pieces, theirs, seen = Pieces(model), None, 0
+        pieces, theirs, seen = Pieces(ready), None, 0
         if verified:
             import sentencepiece
 
@@ -300,10 +308,10 @@ def decode(encoded: DataFrame, model: bytes, ids_col: str = "token_ids") -> Data
     """All columns and ``decoded``: the text of the ids (null where they are null)."""
     names = [c for c in encoded.columns if c != "decoded"]
     place = names.index(ids_col)
-    src = encoded.select(*names).toDF(*[f"c{i}" for i in range(len(names))])
+    src, ready = encoded.select(*names).toDF(*[f"c{i}" for i in range(len(names))]), prepare(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = Pieces(ready)
         for b in batches:
             lists = b.column(f"c{place}").to_pylist()
             texts = [None if x is None else pieces.decode([x])[0] for x in lists]

@@ -9,6 +9,8 @@ from millrace.llm import ego, lm, mixing, pieces, quotes, secrets, simhash, topk
 
 TOKENIZERS = "/opt/tokenizers"
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: One text of so many is held against the sentencepiece library.
+VERIFIED = 1000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +48,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
     with open(model_path, "rb") as f:
         model = f.read()
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode(docs, model).select("doc_id", "n_tokens", "is_lossless", "token_ids")
+    return pieces.encode(docs, model, verified=VERIFIED).select("doc_id", "n_tokens", "is_lossless", "token_ids")
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

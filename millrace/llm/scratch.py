@@ -1,10 +1,12 @@
 """Intermediate tables in the folder that driver and executors share.
 
-A written table cuts lineage as a checkpoint does: losing an executor costs a reread, not a recomputation.
+A written table cuts lineage as a checkpoint does: losing an executor costs a reread, not a recomputation.  Tables are deleted when the session
+ends, or earlier with :func:`drop` and :func:`during`.
 """
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,11 +28,18 @@ def folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the written table."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
@@ -38,8 +47,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    fs, where = _place(spark, path)
+    fs.delete(where, True)
     _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
@@ -50,7 +59,11 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all tables that this application has written here: for the end of a job, when its results are stored."""
-    for path in list(_WRITTEN.get(spark.sparkContext.applicationId, ())):
+def during(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of ``make``; all other tables that were written meanwhile are deleted."""
+    own = _WRITTEN.setdefault(spark.sparkContext.applicationId, set())
+    before = set(own)
+    out = cut(make(), name)
+    for path in own - before - {out._scratch_path}:
         _delete(spark, path)
+    return out

@@ -27,17 +27,22 @@ EXACT = 32
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost non-overlapping matches; those whose ``group`` has fewer than ``least`` characters are dropped."""
+    """Leftmost non-overlapping matches; those whose ``group`` has fewer than ``least`` characters are dropped.
+
+    Where a backtracking engine would begin anew at every character of a long run, ``anchored`` says the same with one beginning a run: its
+    group ``found`` is what ``pattern`` matches."""
 
     kind: str
     pattern: str
     ignore_case: bool = False
     group: int = 0
     least: int = 0
+    anchored: str | None = None
+    found: int = 0
 
     @property
     def regex(self) -> re.Pattern:
-        return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
+        return re.compile(self.anchored or self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
 
 #: Fixed patterns, in the order in which spans with equal starts are listed.
@@ -51,10 +56,12 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # all beginnings in a run meet the same dot, and the first has the most before it
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", anchored=r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,})", found=1),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", r"Bearer +[A-Za-z0-9._~+/-]{20,}"),
-    Rule("urlpass", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@"),
+    # all letters of a run meet the same colon
+    Rule("urlpass", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", anchored=r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\x20\x09-\x0D/:@]++:[^\x20\x09-\x0D/@]++@)", found=1),
 )
 
 # A query is True (every text), ("tri", bytes), ("and", queries) or ("or", queries).
@@ -235,7 +242,8 @@ class Scanner:
                     for m in regex.finditer(text):
                         a, b = m.span(rule.group)
                         if b - a >= rule.least:
-                            out[begin + i].append((m.start(), k, m.end()))
+                            start, stop = m.span(rule.found)
+                            out[begin + i].append((start, k, stop))
         for spans in out:
             spans.sort()
         return out

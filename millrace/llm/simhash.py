@@ -5,16 +5,19 @@ Equal fingerprints are collapsed first, so copies cost one row.  The other finge
 
 * one lane: the 64 bits are cut into ``max_bits + 3`` blocks; a pair within ``max_bits`` agrees in at least three of them,
   so a bucket for every choice of three blocks loses no pair (``max_bits`` 3: 20 choices of 31 to 33 bits);
-* more lanes: disjoint blocks of ``band_bits`` bits; a close pair agrees in one of them with a probability that
-  grows with the number of blocks (see :func:`survivors`).
+* more lanes: blocks of ``band_bits`` bits; a close pair agrees in one of them with a probability that grows with the number of
+  blocks (see :func:`survivors`).  Blocks widen with the logarithm of the number of classes, so that buckets of strangers stay small,
+  and their number grows with them, so that the probability stays (see :func:`bands`).
 
 A bucket's rows come sorted to one task, which emits links of a spanning forest for larger buckets rather than all pairs: n rows give fewer than
 n links, and as the search begins at the smallest node, buckets of one group mostly give the same links.  A bucket only holds different fingerprints that agree in all its bits, 24 bytes each.
+Buckets of more than ``TILE`` rows are dealt over parts, and every two parts meet in a task of their own, so that a bucket that holds a third of all rows is neither held nor compared by one task.
 
 With more lanes a bucket knows the first 128 bits only, so a forest of it would hold links that all bits refuse, in place of links that they allow.  What these
 bits join to a group of up to ``SMALL_BUCKET`` rows is emitted as all its pairs; the rows of a larger group meet again with all they have, and the forest is made of links that pass every check.
 """
 
+import math
 from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -30,8 +33,12 @@ from millrace.llm.components import components
 from millrace.llm.scratch import cut
 from millrace.llm.words import utf8, words
 
-#: Buckets up to this size are compared by shifted copies of the sorted column, larger ones by a search from each row.
+#: Buckets up to this size are compared by shifted copies of the sorted column, larger ones by a search from each row; both find the same groups.
 SMALL_BUCKET = 16
+#: Rows of a part of a large bucket; strangers in a bucket, on average, at most.
+TILE, STRANGERS = 8192, 4
+#: Large buckets are spotted among the classes with one of so many hash values.  What is spotted only says how rows are dealt.
+SPOTTED = 32
 
 
 def shingle_hashes(text: bytes | None, ngram: int, seed: int) -> np.ndarray:
@@ -105,11 +112,21 @@ def with_fingerprints(docs: DataFrame, ngram: int, lanes: int, seed: int) -> Dat
             fps = [fingerprint(t.as_py(), ngram, lanes, seed) for t in utf8(b)]
             yield pa.record_batch([b.column("uid"), b.column("id"), pa.array(fps, pa.binary())], ["uid", "id", "fp"])
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "id", "text").mapInArrow(run, "uid long, id long, fp binary")
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "id", "text").mapInArrow(run, f"uid long, id {docs.schema['id'].dataType.simpleString()}, fp binary")
 
 
-def block_keys(fps: np.ndarray, max_bits: int, band_bits: int) -> list[np.ndarray]:
-    """Bucket keys of fingerprints (n, lanes), one array for each table; the table's number stands above the key's bits."""
+def bands(classes: int, lanes: int, max_bits: int, band_bits: int, share: float = 0.95) -> tuple[int, int]:
+    """(bits of a block, number of blocks) for so many classes: as many disjoint blocks of ``band_bits`` as there are bits for while their buckets
+    hold ``STRANGERS`` strangers at most; beyond that wider ones, so many that a pair shares one with probability ``share`` when 15 % of its bits differ."""
+    bits = 64 * lanes
+    wide = max(band_bits, math.ceil(math.log2(max(1, classes) / STRANGERS)))
+    agrees = (1 - min(0.15, max_bits / bits)) ** wide
+    return wide, bits // wide if wide == band_bits else max(bits // wide, math.ceil(math.log(1 - share) / math.log1p(-agrees)))
+
+
+def block_keys(fps: np.ndarray, max_bits: int, band_bits: int, n_bands: int | None = None) -> list[np.ndarray]:
+    """Bucket keys of fingerprints (n, lanes), one array for each table; the table's number stands above the key's bits.  Blocks beyond the
+    disjoint ones are cut from seeded permutations of the bits."""
     lanes = fps.shape[1]
     if lanes == 1:
         m = max_bits + 3
@@ -124,8 +141,14 @@ def block_keys(fps: np.ndarray, max_bits: int, band_bits: int) -> list[np.ndarra
         return keys
     bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
     weight = (1 << np.arange(band_bits, dtype=np.uint64)).astype(np.uint64)
-    n = bits.shape[1] // band_bits
-    return [(np.uint64(t) << np.uint64(band_bits)) | (bits[:, t * band_bits : (t + 1) * band_bits] * weight).sum(1, dtype=np.uint64) for t in range(n)]
+    once = bits.shape[1] // band_bits
+    keys = []
+    for t in range(once if n_bands is None else n_bands):
+        if t and t % once == 0:
+            bits = bits[:, np.random.default_rng(t).permutation(bits.shape[1])]
+        at = t % once * band_bits
+        keys.append((np.uint64(t) << np.uint64(band_bits)) | (bits[:, at : at + band_bits] * weight).sum(1, dtype=np.uint64))
+    return keys
 
 
 def _unpack(column: pa.Array, lanes: int) -> np.ndarray:
@@ -268,22 +291,37 @@ def _group_links(batches: Iterator[pa.RecordBatch], links: Callable[[pa.Table],
         yield done()
 
 
+def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of buckets in ``large`` (key, parts) get one row for each part, with a key for its own part and that one."""
+    own = "pmod(xxhash64(node), parts)"
+    keys = F.expr(f"CASE WHEN parts IS NULL THEN array(key) ELSE transform(sequence(0L, parts - 1), t -> xxhash64(key, least(t, {own}), greatest(t, {own}))) END")
+    return rows.join(large, "key", "left").withColumn("key", F.explode(keys)).drop("parts")
+
+
 def class_links(classes: DataFrame, lanes: int, max_bits: int, band_bits: int, probe_bits: int, sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
     """(a, b): links between the classes' nodes.  ``classes`` has node and fp, which may go on behind the fingerprint.  With several lanes and
     ``sets``, which gives (node, shingles) for a table of nodes, links also have that similarity."""
     classes = classes.select("node", F.substring("fp", 1, 8 * lanes).alias("fp"))
+    n_classes = classes.count()
+    wide, n_bands = bands(n_classes, lanes, max_bits, band_bits) if lanes > 1 else (0, 0)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 fps, node = _unpack(b.column("fp"), lanes), b.column("node").to_numpy()
                 probe = [pa.array(fps[:, i].copy().view(np.int64)) for i in range(len(sig))]
-                for key in block_keys(fps, max_bits, band_bits):
+                for key in block_keys(fps, max_bits, wide, n_bands):
                     yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(node), *probe], ["key", "node", *sig])
 
     most = max_bits if lanes == 1 else probe_bits
     sig = [f"sig{i}" for i in range(min(lanes, 2))]  # a pair of many lanes is looked at by its first 128 bits before all are compared
-    rows = classes.select("node", "fp").mapInArrow(keyed, "key long, node long, " + ", ".join(f"{c} long" for c in sig))
+    kind = "key long, node long, " + ", ".join(f"{c} long" for c in sig)
+    rows = classes.mapInArrow(keyed, kind)
+    if n_classes > TILE:  # smaller tables have no larger bucket
+        seen = classes.where(F.pmod(F.xxhash64("node"), F.lit(SPOTTED)) == 0).mapInArrow(keyed, kind)
+        large = cut(seen.groupBy("key").agg((F.count("*") * SPOTTED).alias("size")).where(F.col("size") > TILE).select("key", F.ceil(F.col("size") / TILE).alias("parts")), "large")
+        if not large.isEmpty():
+            rows = _dealt(rows, large)
     met = rows.repartition("key").sortWithinPartitions("key", "node")
     if lanes == 1:
         return met.mapInArrow(lambda x: _linked(x, most), "a long, b long").distinct()
@@ -352,9 +390,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id_col, fingerprint, component_id) for every row of ``docs``.
 
     Null and empty texts have the fingerprint zero and link like any other.  Rows with equal ids stay separate rows;
-    null ids are allowed (a component of null ids only has a null component_id).  Other columns of ``docs`` are ignored.
+    ids may be of any type with an order; null ids are allowed (a component of null ids only has a null component_id).  Other columns of ``docs`` are ignored.
     """
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows = cut(with_fingerprints(src, ngram, 1, seed), "fingerprints")
     out = rows.join(_groups(rows, 1, max_bits, 0, 0), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -385,7 +423,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     numbered = src.withColumn("uid", F.monotonically_increasing_id())
     schema = T.StructType([*numbered.schema.fields, T.StructField("fp", T.BinaryType())])
     whole = cut(numbered.mapInArrow(run, schema), "documents")
-    rows = whole.where(F.col("fp") != F.lit(bytes(8 * lanes))).select("uid", F.col(ident).cast("long").alias("id"), "fp")
+    rows = whole.where(F.col("fp") != F.lit(bytes(8 * lanes))).select("uid", F.col(ident).alias("id"), "fp")
 
     def sets(nodes: DataFrame) -> DataFrame:
         return _shingle_sets(whole.join(nodes.withColumnRenamed("node", "uid"), "uid", "left_semi"), text, ngram, seed)

@@ -58,18 +58,19 @@ def _url_filter() -> str:
     ranked = sorted(urls.HOST_RULES, key=lambda r: -len(r.text))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in ranked) + " END"
     action = "CASE rule " + " ".join(f"WHEN '{r.text}' THEN '{r.action}'" for r in ranked)
-    globs = " OR ".join("whole LIKE " + _quoted(g.replace("*", "%").replace("?", "_")) for g in urls.BLOCK_GLOBS)
+    globs = " OR ".join("whole LIKE " + _quoted(g.replace("*", "%").replace("?", "_")) for g in urls.BLOCK_GLOBS)  # none holds a % or _
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT page_id, host, path, {rule} AS rule, '.' || host || chr(1) || path AS whole FROM b)
+c AS (SELECT page_id, host, path, {rule} AS rule, '.' || translate(array_to_string(list_transform(regexp_extract_all(host || chr(1) || path, '%[0-9A-Fa-f][0-9A-Fa-f]|[\\s\\S]'), lambda x: CASE WHEN length(x) = 3 AND regexp_full_match(chr(CAST('0x' || substr(x, 2) AS INTEGER)), '[A-Za-z0-9._~-]') THEN chr(CAST('0x' || substr(x, 2) AS INTEGER)) ELSE x END), ''), '{upper}', '{lower}') AS whole FROM b)
 SELECT page_id, host, path, rule, {action} ELSE CASE WHEN {globs} THEN 'block' ELSE 'allow' END END AS verdict FROM c"""
 
 
 def _source_mix() -> str:
     block, shard_docs, most_shards = mixing.BLOCK_WORDS, mixing.SHARD_DOCS, mixing.MAX_SHARDS
     weights = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS)) + " END"
-    return rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
+    return rf"""WITH d0 AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+d AS (SELECT doc_id, source, size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size || ':0:' || (row_number() OVER (PARTITION BY doc_id, source, size) - 1)) AS k FROM d0),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, least({most_shards}, CAST(ceil(count(*) / {shard_docs}) AS BIGINT)) AS n FROM d GROUP BY source),
 s1 AS (SELECT *, {weights} AS w, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM s0),
 s2 AS (SELECT *, 2.0 * source_size / w AS r FROM s1),
@@ -89,9 +90,9 @@ SELECT doc_id, size, source_size, target, CAST((quota // blocks) * size + greate
 
 
 def _top_k() -> str:
-    return """WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    return """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.rid <> q.rid AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
 
 

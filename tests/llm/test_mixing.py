@@ -64,6 +64,26 @@ def test_mix_keeps_its_targets(spark, monkeypatch):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_the_mix_of_documents_does_not_depend_on_their_files(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(docs.limit(40)).union(docs.limit(40))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(mixing.mixed_documents(docs)) == rows(mixing.mixed_documents(docs.repartition(7)))
+
+
+def test_equal_and_null_ids_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 20)
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 64)
+    docs = spark.createDataFrame([(None, "one two three", "a")] * 300 + [(7, "x y", "a")] * 300 + [(8, "z " * 4, "b")] * 50, "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    assert len(out) == 650 and len({r.taken for r in out if r.doc_id is None}) > 1
+    for source, ids in (("a", {None, 7}), ("b", {8})):
+        own = [r for r in out if r.doc_id in ids]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= len(own) // 20 * mixing.BLOCK_WORDS and all(r.taken <= 2 * r["size"] for r in own)
+    whole = mixing.mixed_documents(docs).collect()
+    assert {r.doc_id for r in whole} == {None, 7, 8} and 0.9 < sum(len(r.text.split()) for r in whole) / sum(r.taken for r in out) < 1.1
+
+
 def test_mixed_documents_repeat_whole_rows(spark):
     rows = make_docs(3, 200)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, n_chars int")

@@ -135,6 +135,73 @@ def test_large_buckets_lose_no_link_to_one_that_all_bits_refuse(spark, size):
     assert links == {(i, size) for i in range(size)}
 
 
+def test_a_stranger_in_a_bucket_costs_no_link(spark):
+    """Near copies of one another in one bucket with a stranger whose first 128 bits are theirs and whose node is the smallest."""
+    rnd = random.Random(2)
+    base = rnd.getrandbits(1024)
+    copies = [base ^ sum(1 << b for b in rnd.sample(range(128, 1024), 40)) for _ in range(24)]
+    stranger = (base & ((1 << 128) - 1)) | (rnd.getrandbits(896) << 128)
+    fps = [np.frombuffer(v.to_bytes(128, "little"), np.uint64).astype(">u8").tobytes() for v in [stranger, *copies]]
+    classes = spark.createDataFrame([(i, bytearray(fp)) for i, fp in enumerate(fps)], "node long, fp binary")
+    groups = dict(components(simhash.class_links(classes, 16, 180, 18, 32)).collect())
+    assert groups == {i: 1 for i in range(1, 25)}
+
+
+def test_parts_of_large_buckets_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPOTTED", 1)
+    rnd = random.Random(5)
+    base = rnd.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 9))) for _ in range(300)})
+    classes = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in enumerate(fps)], "node long, fp binary")
+    whole = dict(components(simhash.class_links(classes, 1, 3, 0, 0)).collect())
+    monkeypatch.setattr(simhash, "TILE", 16)
+    assert dict(components(simhash.class_links(classes, 1, 3, 0, 0)).collect()) == whole
+    want = brute_groups(fps, 3)
+    assert all(whole.get(i, i) == want[i] for i in range(len(fps)))
+
+
+def test_blocks_widen_with_the_number_of_classes():
+    assert simhash.bands(1000, 16, 180, 18) == simhash.bands(1 << 20, 16, 180, 18) == (18, 56)
+    for n in (1 << 24, 1 << 30):
+        wide, many = simhash.bands(n, 16, 180, 18)
+        assert n / 2**wide <= simhash.STRANGERS and 1 - (1 - 0.85**wide) ** many >= 0.95
+    r = np.random.default_rng(1)
+    fps = r.integers(0, 1 << 63, (50, 16), dtype=np.uint64)
+    keys = simhash.block_keys(fps, 180, 26, 200)
+    assert len(keys) == 200 and len({int(k[0]) >> 26 for k in keys}) == 200
+    other = np.packbits(np.unpackbits(fps.view(np.uint8).reshape(50, -1), axis=1) ^ (r.random((50, 1024)) < 0.15), axis=1).view(np.uint64)
+    met = np.any([a == b for a, b in zip(keys, simhash.block_keys(other, 180, 26, 200))], axis=0)
+    assert met.mean() > 0.85
+
+
+def test_recall_of_pairs_from_the_similarity_on(spark):
+    """Of all pairs of documents that share 0.8 of their shingles, at least nine in ten share a group, and every group comes from such pairs or chains of them."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5, 42).tolist()) for t in texts]
+    by = {}
+    for i, s in enumerate(sets):
+        for h in s:
+            by.setdefault(h, []).append(i)
+    pairs = {(i, j) for own in by.values() if len(own) < 500 for i in own for j in own if i < j}
+    close = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    low = list(range(len(texts)))
+    for _ in range(50):
+        for i, j in close:
+            low[i] = low[j] = min(low[i], low[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.survivors(docs, **simhash.STAGE).select("doc_id").collect()}
+    groups = {low[i] for i in range(len(texts))}
+    gone = len(texts) - len(groups)
+    assert {low[i] for i in kept} == groups  # each group keeps one at least
+    assert gone > 20 and len(texts) - len(kept) >= 0.9 * gone
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), (None, "q")], "doc_id string, text string")
+    assert sorted(str(r.component_id) for r in simhash.near_groups(docs).collect()) == ["None", "a", "a"]
+    assert sorted(str(r.doc_id) for r in simhash.survivors(docs).collect()) == ["None", "a"]
+
+
 def test_survivors_below_the_similarity_stay(spark):
     rnd = random.Random(3)
     one = lambda text: np.frombuffer(simhash.fingerprint(text.encode(), 5, 16, 42), ">u8").astype(np.uint64).reshape(1, -1)

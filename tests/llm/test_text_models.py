@@ -10,6 +10,8 @@ import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
+import xxhash
 
 from millrace.llm import lm, pieces, toxicity
 from millrace.llm.queries import PIECE_MODEL
@@ -65,6 +67,35 @@ def test_unigram_scores_and_byte_fallback():
     assert pieces.verify(data, texts) == []
 
 
+def test_unigram_parity_with_all_pieces_of_a_model(spark, model):
+    """The pieces of the model file as a unigram model whose scores tie nowhere, on documents."""
+    trainer = next(v for f, v in pieces._fields(model) if f == 2)
+    data = model.replace(trainer, trainer.replace(b"\x18\x02", b"\x18\x01", 1), 1)  # field 3, the kind of model: 2 is BPE, 1 unigram
+    rnd = random.Random(1)
+    for i, (_, v) in enumerate(x for x in pieces._fields(model) if x[0] == 1):
+        if dict(pieces._fields(v)).get(3, 1) == pieces.NORMAL:
+            old = b"\x15" + dict(pieces._fields(v))[2]  # field 2, the score
+            assert v.count(old) == 1
+            data = data.replace(v, v.replace(old, b"\x15" + struct.pack("<f", -4 - math.log1p(i) - rnd.random())), 1)
+    assert not pieces.parse(data).bpe and len(pieces.parse(data).pieces) == 32_000
+    texts = ODD[:-2] + [r.text[:3000] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect() if r.text]
+    assert pieces.verify(data, texts) == []
+    ours, theirs = pieces.Pieces(data).encode(texts), sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts)
+    assert sum(x != y for x, y in zip(ours, theirs)) < 4  # "%%" "%" and "%" "%%" have equal sums
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = pieces.encode(docs, data, threads=3, verified=1)
+    assert pieces.decode(out, data).where("decoded = text").count() >= len(texts) - 4
+
+
+def test_threads_change_nothing_and_differences_stop(spark, sf, model, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one, many = (sorted(map(str, pieces.encode(docs, model, threads=n, verified=7).collect())) for n in (1, 4))
+    assert one == many
+    monkeypatch.setattr(pieces, "verify", lambda data, texts, *more: [0])
+    with pytest.raises(Exception, match="not what the sentencepiece library gives"):
+        pieces.encode(docs, model, verified=7).count()
+
+
 def test_encode_and_decode_tables(spark, model):
     rows = [(i, t, 5) for i, t in enumerate(ODD)] + [(None, None, 5), (0, "", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
@@ -80,6 +111,20 @@ def test_encode_and_decode_tables(spark, model):
     assert pieces.encode(docs.limit(0), model).count() == 0
 
 
+def test_words_are_encoded_as_in_texts(model):
+    import pyarrow as pa
+
+    own = pieces.Pieces(model)
+    words = ["the", "a▁b", "▁", "日本", "x" * 300, "é\x00", "straße,", "<s>", "\U0001f600"] + [f"w{i}" for i in range(600)]
+    for some in (words, words[:1], [w for w in words if "▁" not in w]):
+        flat, n = own.encode_words(pa.array(some))
+        got = np.split(flat, np.cumsum(n)[:-1])
+        assert [x.tolist() for x in got] == [np.frombuffer(own.word_ids([w])[0], np.int32).tolist() for w in some]
+    bad = pa.array([b"ok", b"\xff\xfe"], pa.binary()).view(pa.string())
+    assert len(own.encode_words(bad)[1]) == 2
+    assert len(own.encode_words(pa.array([], pa.string()))[1]) == 0
+
+
 def brute_lm(rows):
     tokens = [WORD.findall((t or "").translate(LOWER)) + [None] for _, t in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
@@ -186,15 +231,45 @@ print("ROWS", lm.score(docs, open({PIECE_MODEL!r}, "rb").read()).count())
 
 
 def test_windows_score_each_id_once():
-    for n in (1, 2, lm.STRIDE, lm.STRIDE + 1, 100):
+    r = np.random.default_rng(1)
+    for lengths in ([1], [2, lm.STRIDE, 1, lm.STRIDE + 1, 100], r.integers(1, 200, 30).tolist()):
+        docs = [[*r.integers(1, 1000, n - 1).tolist(), 0] for n in lengths]  # the last is the end
+        layout = lm.Layout(np.array(lengths))
+        inputs, target = layout.windows(np.concatenate(docs), np.concatenate(docs) + 1)
+        assert len(inputs) == sum(-(-n // lm.STRIDE) for n in lengths)
+        assert target.ravel()[layout.targets].tolist() == [i + 1 for d in docs for i in d]
+        w = 0
+        for d in docs:
+            before = [0] * (lm.WINDOW - lm.STRIDE + 1) + d[:-1]
+            for at in range(0, len(d), lm.STRIDE):
+                some = before[at : at + lm.WINDOW]
+                assert inputs[w][: len(some)].tolist() == some
+                w += 1
+
+
+def test_a_stream_trains_each_id_once():
+    for n in (0, 1, lm.WINDOW, 3 * lm.WINDOW + 5):
         ids = np.arange(1, n + 1)
-        inputs, target, counted = lm.windows(ids, ids)
-        assert target[counted].tolist() == ids.tolist()
-        late = inputs[:, lm.WINDOW - lm.STRIDE :]
-        assert late[counted].tolist() == [0, *ids[:-1]]
-        parts = [[x[i::3] for x in (inputs, target, counted)] for i in range(3)]
-        again = list(lm.batched(iter(parts), 2))
-        assert sorted(np.concatenate([t[c] for _, t, c in again]).tolist()) == ids.tolist() and all(len(x[0]) <= 2 for x in again)
+        inputs, target, counted = lm.stream(ids, ids)
+        parts = [[x[i :: lm.ROUNDS] for x in (inputs, target, counted)] for i in range(lm.ROUNDS)]
+        assert sorted(np.concatenate([t[c] for _, t, c in parts]).tolist()) == ids.tolist()
+        assert inputs[counted].tolist() == [0, *ids[:-1]][:n]
+
+
+def test_words_of_a_chunk():
+    import pyarrow as pa
+
+    texts = [None, "", " The  the\x0bTHE\n", "É é\xa0x", "a\tb\x0cc\rd", "\x1cz \u2003 y"]
+    word, at, sizes = lm._numbered_words([pa.array(texts[:2], pa.string()), pa.array(texts[2:], pa.string())])
+    own = word.to_pylist()
+    want = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and [own[i] for i in at.tolist()] == [x for w in want for x in w]
+    data, length = lm._bytes_of(word)
+    h = lm._word_hash(data, length)
+    assert len(h) == len(own) and h.min() >= 0 and h.max() < 1 << 24 and lm._word_hash(data[: length[0]], length[:1])[0] == h[0]
+    for kind in (np.int32, np.int64):
+        x = np.array([0, 1, 255, 256, 70_000, 2**31 - 1], kind)
+        assert lm._from_planes(lm._planes(x), kind).tolist() == x.tolist()
 
 
 def small_net(kind=np.float32):
@@ -215,6 +290,8 @@ def test_attention_is_causal_and_its_gradient_right():
     assert np.allclose(total, 1, atol=1e-3)
     net, *_ = small_net(np.float64)
     g, at = net.gradient(inputs, target, counted), 0
+    output = net.gradient(inputs, target, counted, whole=False)
+    assert np.allclose(output, g[-len(output) :])
     for name, w in net.w.items():
         for i in {0, w.size // 2, w.size - 1, int(np.argmax(np.abs(g[at : at + w.size])))}:
             keep = net.flat[at + i]
@@ -230,11 +307,12 @@ def test_attention_is_causal_and_its_gradient_right():
 
 def test_training_learns_a_pattern():
     net, *_ = small_net()
-    docs = [np.tile([1, 2, 3, 3, 2], 60) for _ in range(30)]
-    batches = list(lm.batched((lm.windows(d, d) for d in docs), 16))
-    before = np.mean([net.log_likelihood(*w[:2]).mean() for w in batches])
-    net.train([w for _ in range(10) for w in batches], 10 * len(batches))
-    assert np.mean([net.log_likelihood(*w[:2]).mean() for w in batches]) > before + 0.8
+    ids = np.tile([1, 2, 3, 3, 2], 20_000)
+    inputs, target, counted = lm.stream(ids, ids)
+    before = net.log_likelihood(inputs, target).mean()
+    parts = [[x[at : at + 700] for x in (inputs, target, counted)] for at in range(0, len(inputs), 700)]
+    assert net.train(parts, len(inputs)) == len(ids)
+    assert net.log_likelihood(inputs, target).mean() > before + 0.8
 
 
 def labelled(n, seed):
@@ -268,6 +346,86 @@ def test_chain_holds_out_well(spark):
     assert kept.columns == ["p_toxic", "text"] and kept.count() == sum(r.p_toxic < 0.5 for r in out.values())
 
 
+def brute_chain(rows, labels, least=toxicity.EVIDENCE, folds=3):
+    """Probabilities of all rows by a chain fitted on the labelled ones, with dense matrices and every selection made anew."""
+
+    def held(text):
+        raw = {w.encode() for w in WORD.findall((text or "").translate(LOWER))}
+        own = {w.strip(toxicity.PUNCTUATION) for w in raw}
+        return raw | own | {w[:6] + b"*" for w in own if len(w) > 6}
+
+    of = dict(rows)
+    known = [(i, 1 - q, t) for i, q, t in labels if i in of]
+    fold = [xxhash.xxh64_intdigest(of[i].encode(), 42) for i, *_ in known]
+    fold = np.array([(f - (1 << 64) if f >> 63 else f) % folds for f in fold])
+    texts = [held(of[i]) for i, *_ in known]
+    y_all = np.array([k[1:] for k in known], float)
+
+    def selected(inside, k):
+        out = []
+        n, rate = inside.sum(), y_all[inside, k].mean()
+        for w in sorted(set().union(*texts)):
+            have = np.array([w in t for t in texts]) & inside
+            m, pos = have.sum(), y_all[have, k].sum()
+            score = sum(2 * x * math.log(x / (m * share)) for x, share in ((pos, rate), (m - pos, 1 - rate)) if x)
+            if n and m and score >= least:
+                out.append(w)
+        return out
+
+    def fit(inside, k, earlier):
+        chosen = selected(inside, k)
+        design = np.array([[w in t for w in chosen] for t in texts], float).reshape(len(texts), len(chosen))
+        design = np.c_[design, earlier][inside]
+        y = y_all[inside, k]
+        w, b = np.zeros(design.shape[1]), math.log((y.sum() + 0.5) / (len(y) + 1.5 - y.sum()))
+        moment, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+        for step in range(1, 101):
+            r = 1 / (1 + np.exp(-(design @ w + b))) - y
+            g = np.append(design.T @ r / len(y) + 3e-4 * w, r.mean())
+            moment, square = 0.9 * moment + 0.1 * g, 0.99 * square + 0.01 * g * g
+            move = 0.15 * (1 - 0.009 * step) * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+            w, b = w - move[:-1], b - move[-1]
+        return chosen, w, b
+
+    def predicted(model, some, earlier):
+        chosen, w, b = model
+        x = np.array([[v in t for v in chosen] for t in some], float).reshape(len(some), len(chosen))
+        return 1 / (1 + np.exp(-(np.c_[x, earlier] @ w + b)))
+
+    every, asked = np.ones(len(known), bool), [held(t) for _, t in rows]
+    first = fit(every, 0, np.zeros((len(known), 0)))
+    unseen = np.zeros((len(known), 1))
+    for f in range(folds):
+        left = fold == f
+        unseen[left, 0] = predicted(fit(~left, 0, np.zeros((len(known), 0))), [t for t, x in zip(texts, left) if x], np.zeros((left.sum(), 0)))
+    p = predicted(first, asked, np.zeros((len(asked), 0)))
+    return np.c_[p, predicted(fit(every, 1, unseen), asked, p[:, None])]
+
+
+def test_chain_matches_brute_force(spark):
+    rows, labels = labelled(240, 5)
+    rows = [(i, t if i % 9 else rows[0][1] + " extra") for i, t in rows]
+    docs = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string")  # repeated rows count once
+    chain = toxicity.train(docs, spark.createDataFrame([*labels[:200], labels[3]], "doc_id long, quality int, toxic int"), toxicity.standard_categories())
+    out = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in toxicity.score(docs, chain).collect()}
+    want = brute_chain(rows, labels[:200])
+    assert np.allclose([out[i] for i, _ in rows], want, atol=1e-6)
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    rows, labels = labelled(40, 2)
+    docs = spark.createDataFrame([(i % 4, t + " " + "long " * 40_000 * (i == 1)) for i, t in rows] + [(None, "x"), (None, "x")], "doc_id long, text string")
+    known = spark.createDataFrame(labels[:4], "doc_id long, quality int, toxic int")
+    fitted, kept = [], toxicity.fit_chain
+    try:
+        toxicity.fit_chain = lambda own, *a, **k: fitted.append(len(own)) or kept(own, *a, **k)
+        chain = toxicity.train(docs, known, toxicity.standard_categories(), max_rows=15)
+    finally:
+        toxicity.fit_chain = kept
+    assert fitted == [15] and toxicity.score(docs, chain).count() == 42
+    assert toxicity.accepted(docs.withColumnRenamed("text", "body"), chain, "body").columns == ["doc_id", "body"]
+
+
 def test_chain_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
