@@ -7,8 +7,8 @@ read again.  All but the last return the columns of ``documents``.
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import mixing, pieces, secrets, simhash, toxicity
-from millrace.llm.queries import PIECE_MODEL
-from millrace.llm.scratch import cut
+from millrace.llm.queries import PIECE_MODEL, VERIFIED
+from millrace.llm.scratch import drop, during
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with the ids of their text."""
     with open(PIECE_MODEL, "rb") as f:
         model = f.read()
-    return pieces.encode(docs, model)
+    return pieces.encode(docs, model, verified=VERIFIED)
 
 
 STAGES = [
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, during(spark, lambda: stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
     return docs
