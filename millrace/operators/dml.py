@@ -74,11 +74,15 @@ class RestrictError(ValueError):
     pass
 
 
+class DepthError(ValueError):
+    pass
+
+
 def delete_cascade(tables: dict[str, DataFrame], keys: Sequence[ForeignKey], table: str, predicate: Column) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """(tables afterwards, deleted rows by table): rows of ``table`` that the predicate holds for go, and rows of other tables that depend on them.
 
     Keys are followed from table to table, at most ``MAX_DEPTH`` deep, by semi joins (what goes) and anti joins (what stays); all stays lazy.  RESTRICT
-    raises if a dependent row exists, SET_NULL empties its column.
+    raises if a dependent row exists, SET_NULL empties its column.  Dependent rows that lie deeper raise too: none becomes an orphan.
     """
     after = dict(tables)
     gone: dict[str, DataFrame] = {}
@@ -86,8 +90,6 @@ def delete_cascade(tables: dict[str, DataFrame], keys: Sequence[ForeignKey], tab
     def remove(name: str, doomed: DataFrame, kept: DataFrame, depth: int) -> None:
         after[name] = kept
         gone[name] = gone[name].unionByName(doomed) if name in gone else doomed
-        if depth == MAX_DEPTH:
-            return
         for k in keys:
             if k.parent != name:
                 continue
@@ -101,6 +103,9 @@ def delete_cascade(tables: dict[str, DataFrame], keys: Sequence[ForeignKey], tab
             elif k.on_delete == "SET_NULL":
                 marked = child.join(lost, match, "left")
                 after[k.child] = marked.select(*[(F.when(F.col("__k").isNull(), F.col(c)) if c == k.column else F.col(c)).alias(c) for c in child.columns])
+            elif depth == MAX_DEPTH:
+                if not hit.isEmpty():
+                    raise DepthError(f"{k.child}.{k.column} refers to deleted rows of {name}, {MAX_DEPTH} tables down")
             else:
                 remove(k.child, hit, child.join(lost, match, "left_anti"), depth + 1)
 
@@ -108,10 +113,17 @@ def delete_cascade(tables: dict[str, DataFrame], keys: Sequence[ForeignKey], tab
     return after, gone
 
 
-def violations(table: DataFrame, not_null: Sequence[str] = (), unique: Sequence[Sequence[str]] = ()) -> DataFrame:
-    """(rule, n): broken NOT NULL and UNIQUE rules with the number of rows or keys that break them."""
+def violations(table: DataFrame, not_null: Sequence[str] = (), unique: Sequence[Sequence[str]] = (), old: DataFrame | None = None) -> DataFrame:
+    """(rule, n): broken NOT NULL and UNIQUE rules with the number of rows or keys that break them.  With ``old``, ``table`` holds rows to be added to it,
+    and keys of both break a rule too; keys of old rows are not compared with one another."""
     checks = [table.agg(F.count_if(F.col(c).isNull()).alias("n")).select(F.lit(f"not null {c}").alias("rule"), "n") for c in not_null]
-    checks += [table.dropna(subset=list(u)).groupBy(*u).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit(f"unique {', '.join(u)}").alias("rule"), "n") for u in unique]
+    for u in unique:
+        keys = table.dropna(subset=list(u)).groupBy(*u).agg(F.count("*").alias("n"))
+        twice = keys.where("n > 1").select(*u)
+        if old is not None:
+            taken = keys.select(*u).join(old.select(*u), list(u), "left_semi")
+            twice = twice.unionByName(taken).distinct()
+        checks.append(twice.agg(F.count("*").alias("n")).select(F.lit(f"unique {', '.join(u)}").alias("rule"), "n"))
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)

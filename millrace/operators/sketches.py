@@ -28,9 +28,9 @@ class CountMin:
 
     @classmethod
     def of(cls, rows: DataFrame, column: str, width: int = 2048, depth: int = 5) -> "CountMin":
-        counted = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-        placed = counted.select(cls._places(F.col(column), width, depth).alias("p"), "n")
-        return cls(width, depth, placed.groupBy("p.row", "p.cell").agg(F.sum("n").alias("n")))
+        """One pass: each task sums up its own cells, so what is shuffled is bounded by cells and tasks, not by values."""
+        placed = rows.where(F.col(column).isNotNull()).select(cls._places(F.col(column), width, depth).alias("p"))
+        return cls(width, depth, placed.groupBy("p.row", "p.cell").agg(F.count("*").alias("n")))
 
     def merge(self, other: "CountMin") -> "CountMin":
         if (self.width, self.depth) != (other.width, other.depth):

@@ -6,27 +6,28 @@ Everything is an expression of ``spark.range``, so any size is made in parallel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed recipes: rows and the SQL of each column over the row number id.
+#: Names, rows and the SQL of each column over the row number id.
 MOCK = {
-    "mock_table_1": (100, {"colA": "int(id)", "colB": "int(id * 100)"}),
-    "mock_table_2": (100, {"colC": "concat(id, '-x')", "colD": "repeat('y', int(id % 8))"}),
-    "mock_table_3": (100, {"colE": "if(id % 2 = 0, int(id), null)", "colF": "concat(id, '-x')"}),
-    "mock_table_4": (100, {"colG": "nullif(int(id % 5), 0)", "colH": "if(id % 10 = 0, null, repeat('x', int(id % 3 + 1)))"}),
-    "mock_table_123": (3, {"number": "int(id + 1)"}),
-    "mock_table_schedule": (7, {"day_of_week": "element_at(array('Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'), int(id + 1))", "has_lecture": "int(id in (0, 2))"}),
-    "mock_agg_input_small": (1_000, {"v1": "int((id + 2) % 10)", "v2": "int(id)", "v3": "int((id + 50) % 100)", "v4": "int(id div 100)", "v5": "233", "v6": "repeat('x', int(id % 8 + 1))"}),
-    "mock_agg_input_big": (10_000, {"v1": "int((id + 2) % 10)", "v2": "int(id)", "v3": "int((id + 50) % 100)", "v4": "int(id div 1000)", "v5": "233", "v6": "repeat('x', int(id % 16 + 1))"}),
-    "mock_external_merge_sort_input": (100_000, {"v1": "int(id)", "v2": "int((id + 1777) % 15000)", "v3": "int((id + 3) % 111)"}),
-    "mock_graph": (100, {"src": "int(id % 10)", "dst": "int(id div 10)", "src_label": "int(id % 10 * 100)", "dst_label": "int(id div 10 * 100)", "distance": "if(id % 10 = id div 10, null, 1)"}),
-    "mock_t1": (1_000_000, {"x": "int(id div 10000)", "y": "int(id % 10000)", "z": "int(id)"}),
-    "mock_t4_1m": (1_000_000, {"x": "int(id % 500000)", "y": "int(id % 500000 * 10)"}),
-    "mock_t5_1m": (1_000_000, {"x": "int((id + 30000) % 500000)", "y": "int((id + 30000) % 500000 * 10)"}),
-    "mock_t6_1m": (1_000_000, {"x": "int((id + 60000) % 500000)", "y": "int((id + 60000) % 500000 * 10)"}),
-    "mock_t7": (1_000_000, {"v": "int(id % 20)", "v1": "int(id)", "v2": "int(id)"}),
-    "mock_t8": (10, {"v4": "int(id)"}),
-    "mock_t9": (10_000_000, {"x": "int(id div 10000)", "y": "int(10000000 - (id div 2 + ((id div 10000) % 2) * ((id div 2) % 2)))"}),
-    "mock_t10": (10_000, {"x": "int(id)", "y": "int(id * 10)"}),
-    "mock_t11": (1_000_000, {"x": "int(-(id % 1000) - 1)", "y": "int(id * 10)"}),
+    "__mock_table_1": (100, {"colA": "int(id)", "colB": "int(id * 100)"}),
+    "__mock_table_2": (100, {"colC": "concat(id, '-💩')", "colD": "repeat('😇', int(id % 8))"}),
+    "__mock_table_3": (100, {"colE": "if(id % 2 = 0, int(id), null)", "colF": "concat(id, '-💩')"}),
+    "__mock_table_4": (100, {"colG": "nullif(int(id % 5), 0)", "colH": "if(id % 10 = 0, null, repeat('💩', int(id % 3 + 1)))"}),
+    "__mock_table_123": (3, {"number": "int(id + 1)"}),
+    "__mock_table_schedule": (7, {"day_of_week": "element_at(array('Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'), int(id + 1))", "has_lecture": "int(id in (0, 2))"}),
+    "__mock_table_schedule_2022": (7, {"day_of_week": "element_at(array('Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'), int(id + 1))", "has_lecture": "int(id in (1, 3))"}),
+    "__mock_agg_input_small": (1_000, {"v1": "int((id + 2) % 10)", "v2": "int(id)", "v3": "int((id + 50) % 100)", "v4": "int(id div 100)", "v5": "233", "v6": "repeat('💩', int(id % 8 + 1))"}),
+    "__mock_agg_input_big": (10_000, {"v1": "int((id + 2) % 10)", "v2": "int(id)", "v3": "int((id + 50) % 100)", "v4": "int(id div 1000)", "v5": "233", "v6": "repeat('💩', int(id % 16 + 1))"}),
+    "__mock_external_merge_sort_input": (100_000, {"v1": "int(id)", "v2": "int((id + 1777) % 15000)", "v3": "int((id + 3) % 111)"}),
+    "__mock_graph": (100, {"src": "int(id % 10)", "dst": "int(id div 10)", "src_label": "int(id % 10 * 100)", "dst_label": "int(id div 10 * 100)", "distance": "if(id % 10 = id div 10, null, 1)"}),
+    "__mock_t1": (1_000_000, {"x": "int(id div 10000)", "y": "int(id % 10000)", "z": "int(id)"}),
+    "__mock_t4_1m": (1_000_000, {"x": "int(id % 500000)", "y": "int(id % 500000 * 10)"}),
+    "__mock_t5_1m": (1_000_000, {"x": "int((id + 30000) % 500000)", "y": "int((id + 30000) % 500000 * 10)"}),
+    "__mock_t6_1m": (1_000_000, {"x": "int((id + 60000) % 500000)", "y": "int((id + 60000) % 500000 * 10)"}),
+    "__mock_t7": (1_000_000, {"v": "int(id % 20)", "v1": "int(id)", "v2": "int(id)"}),
+    "__mock_t8": (10, {"v4": "int(id)"}),
+    "__mock_t9": (10_000_000, {"x": "int(id div 10000)", "y": "int(10000000 - (id div 2 + ((id div 10000) % 2) * ((id div 2) % 2)))"}),
+    "__mock_t10": (10_000, {"x": "int(id)", "y": "int(id * 10)"}),
+    "__mock_t11": (1_000_000, {"x": "int(-(id % 1000) - 1)", "y": "int(id * 10)"}),
     "empty_table": (0, {"colA": "int(id)"}),
     "test_simple_seq_1": (10, {"col1": "int(id)"}),
     "test_simple_seq_2": (10, {"col1": "int(id)", "col2": "int(id + 10)"}),
@@ -34,8 +35,8 @@ MOCK = {
 
 
 def mock(spark: SparkSession, name: str, shuffled: bool = False, seed: int = 1) -> DataFrame:
-    """A mock table; ``shuffled`` deals its rows out in another, seeded order."""
-    rows, columns = MOCK[name]
+    """A mock table; ``shuffled`` deals its rows out in another, seeded order.  Names may go without the underscores in front."""
+    rows, columns = MOCK[name if name in MOCK else f"__{name}"]
     out = spark.range(rows).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
     return out.orderBy(F.xxhash64(F.lit(seed), *out.columns)) if shuffled else out
 

@@ -1,6 +1,6 @@
 """Exports: SQL scripts, CSV and JSON, and an append-only change log."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,13 +53,43 @@ def export(rows: DataFrame, path: str, kind: str) -> None:
         raise ValueError(f"unknown kind {kind!r}")
 
 
+def _segments(spark: SparkSession, path: str) -> list[int]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("segment="))
+
+
 def log_changes(path: str, table: str, event: str, rows: DataFrame) -> None:
-    """Append row events (insert, update, delete) with a checksum to the change log in ``path``."""
+    """Append row events (insert, update, delete) with a checksum to the newest segment of the change log in ``path``."""
     data = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
-    rows.select(F.lit(table).alias("table_name"), F.lit(event).alias("event"), data.alias("row_json"), F.crc32(data.cast("binary")).alias("checksum"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+    segment = max([1, *_segments(rows.sparkSession, path)])
+    events = rows.select(F.lit(table).alias("table_name"), F.lit(event).alias("event"), data.alias("row_json"), F.crc32(data.cast("binary")).alias("checksum"), F.current_timestamp().alias("at"))
+    events.write.mode("append").parquet(f"{path}/segment={segment}")
+
+
+def rotate_log(spark: SparkSession, path: str) -> int:
+    """Begin a new segment; returns its number."""
+    number = max([0, *_segments(spark, path)]) + 1
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segment={number}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    return number
+
+
+def purge_log(spark: SparkSession, path: str, before: int) -> int:
+    """Delete the segments with a number below ``before``, but never the newest; returns how many went."""
+    old = [n for n in _segments(spark, path)[:-1] if n < before]
+    for n in old:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segment={n}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(old)
+
+
+#: Columns of the change log.
+LOG = "table_name string, event string, row_json string, checksum long, at timestamp"
 
 
-def read_changes(spark, path: str) -> DataFrame:
-    """The change log; rows whose checksum doesn't fit are marked."""
-    log = spark.read.parquet(path)
+def read_changes(spark: SparkSession, path: str) -> DataFrame:
+    """The change log with the number of each event's segment; rows whose checksum doesn't fit are marked."""
+    log = spark.read.schema(LOG + ", segment int").parquet(path)
     return log.withColumn("is_intact", F.crc32(F.col("row_json").cast("binary")) == F.col("checksum"))

@@ -207,6 +207,8 @@ def test_database_round_trip(spark, tmp_path):
     assert rows(db.describe("customers"))[0] == ("id", "int", "NO", "PRI", None, "auto_increment")
     assert sorted(r[0] for r in rows(db.show_tables())) == ["customers", "orders"] and db.show_tables().columns == ["Tables_in_shop"]
     assert "Scan" in db.explain("SELECT * FROM customers")
+    with pytest.raises(catalog.CatalogError, match="unique name"):  # by the index
+        db.insert("customers", spark.createDataFrame([("b",)], "n string"), ["name"])
     db.execute_ddl("DROP TABLE orders")
     db.drop_table("orders", if_exists=True)
     with pytest.raises(catalog.CatalogError):
@@ -215,6 +217,54 @@ def test_database_round_trip(spark, tmp_path):
     assert rows(w.show_databases()) == []
 
 
+def test_inserts_append_and_writers_conflict(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(catalog, "PARTS", 3)
+    monkeypatch.setattr(catalog, "KEPT", 4)
+    db = catalog.Warehouse(spark, f"file://{tmp_path}").create_database("d")
+    db.create_table("t", types.Schema((types.ColumnDef("a", "int"), types.ColumnDef("b", "varchar(5)"))))
+    add = lambda v: db.insert("t", spark.createDataFrame([(v, "x")], "a int, b string"))
+    add(1)
+    first = {f for f in os.listdir(f"{tmp_path}/d/t")}
+    add(2)
+    assert first < set(os.listdir(f"{tmp_path}/d/t")) and len(db.state()[1]["t"]["parts"]) == 2  # what was there stays
+    add(3)
+    add(4)
+    assert len(db.state()[1]["t"]["parts"]) == 1 and sorted(r.a for r in db.table("t").collect()) == [1, 2, 3, 4]
+    number, tables = db.state()
+    add(5)
+    with pytest.raises(catalog.ConflictError):
+        db._publish(number, tables)
+    assert db.table("t").count() == 5 and len(db._numbers()) <= 5
+    assert not [f for f in os.listdir(f"{tmp_path}/d/_state") if f.startswith("_") or "tmp" in f]
+
+
+def test_a_crash_before_the_state_is_published_changes_nothing(spark, tmp_path, monkeypatch):
+    db = catalog.Warehouse(spark, f"file://{tmp_path}").create_database("d")
+    c = types.ColumnDef
+    for name in ("p", "q"):
+        db.create_table(name, types.Schema((c("id", "int"), c("up", "int"))))
+        db.insert(name, spark.createDataFrame([(1, 1), (2, 2)], "id int, up int"))
+    db.register_foreign_key("p", "id", "q", "up")
+    monkeypatch.setattr(catalog.Database, "_publish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        db.delete("p", F.col("id") == 1)
+    assert db.table("p").count() == db.table("q").count() == 2
+    monkeypatch.undo()
+    assert db.delete("p", F.col("id") == 1) == 2 and db.table("p").count() == db.table("q").count() == 1
+
+
+def test_cascades_beyond_the_depth_raise(spark):
+    n = dml.MAX_DEPTH + 2
+    tables = {f"t{i}": spark.createDataFrame([(1, 1)], "id int, up int") for i in range(n)}
+    keys = [dml.ForeignKey(f"t{i}", "id", f"t{i + 1}", "up") for i in range(n - 1)]
+    with pytest.raises(dml.DepthError):
+        dml.delete_cascade(tables, keys, "t0", F.col("id") == 1)
+    after, _ = dml.delete_cascade(tables, keys[:-1], "t0", F.col("id") == 1)
+    assert after[f"t{n - 2}"].count() == 0
+
+
 def test_exports(spark, tmp_path):
     t = spark.createDataFrame([(1, "it's", 1.5), (2, None, None)], "id int, s string, d double")
     sinks.dump_sql(t, "t", str(tmp_path / "dump"), batch=1)
@@ -227,6 +277,9 @@ def test_exports(spark, tmp_path):
     sinks.log_changes(log, "t", "insert", t)
     sinks.log_changes(log, "t", "delete", t.limit(1))
     assert rows(sinks.read_changes(spark, log).groupBy("event").agg(F.count("*"), F.min("is_intact")).orderBy("event")) == [("delete", 1, True), ("insert", 2, True)]
+    assert sinks.rotate_log(spark, log) == 2
+    sinks.log_changes(log, "t", "update", t)
+    assert sinks.purge_log(spark, log, 9) == 1 and rows(sinks.read_changes(spark, log).groupBy("event", "segment").count()) == [("update", 2, 2)]
 
 
 def test_stream_to_table(spark, sf, tmp_path):
