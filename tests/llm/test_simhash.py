@@ -226,5 +226,15 @@ def test_components_of_chains_and_stars(spark, n):
     assert {k: v for k, v in out.items() if k >= 1000} == {1000 + i: 1000 for i in range(n + 1)}
 
 
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    from millrace.llm import components as module
+
+    monkeypatch.setattr(module, "LEAST", 5)
+    links = [(500, i) for i in range(200)] + [(i, 600 + i) for i in range(100)] + [(900, 901), (901, 902)] + [(1000 + i, 2000) for i in range(50)]
+    out = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert {v for k, v in out.items() if k < 900} == {0} and {out[900], out[902]} == {900} and {v for k, v in out.items() if k >= 1000} == {1000}
+    assert len(out) == 301 + 3 + 51
+
+
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
