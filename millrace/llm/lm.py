@@ -407,12 +407,13 @@ def _packed(rows: DataFrame, width: int) -> np.ndarray:
     """Counts (i, n) of cells to a dense array on the driver, which takes in ``width`` numbers a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
-        for b in batches:
-            row, col, n = b.column("row").to_numpy(), b.column("i").to_numpy() % width, b.column("n").to_numpy()
-            for r in np.unique(row).tolist():
-                np.add.at(own.setdefault(r, np.zeros(width, np.int64)), col[row == r], n[row == r])
-        yield pa.record_batch([pa.array(list(own), pa.int64()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["row", "n"])
+        cells = [tuple(b.column(c).to_numpy() for c in ("row", "i", "n")) for b in batches]
+        if cells:
+            row, i, n = (np.concatenate(x) for x in zip(*cells))
+            names, at = np.unique(row, return_inverse=True)
+            own = np.zeros((len(names), width), np.int64)
+            own[at, i % width] = n
+            yield pa.record_batch([pa.array(names, pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["row", "n"])
 
     summed = rows.groupBy("i").agg(F.sum("n").alias("n")).withColumn("row", F.expr(f"i div {width}"))
     out = np.zeros((GROUPS, width), np.int64)
