@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import CatalogError, Database, Warehouse
 from millrace.operators import dml
+from millrace.operators.sets import ObservedRemoveSet
 from millrace.plans.registry import query
 from millrace.sources import generators, sinks
 from millrace.sources.staging import place
@@ -371,3 +372,17 @@ _EMPTY = "SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM __mock_t10 a J
 @query(_ranges(__mock_t10="SELECT CAST(i AS INT) AS x, CAST(i * 10 AS INT) AS y FROM range(10000) t(i)", __mock_t11="SELECT CAST(-1 * (i % 1000) - 1 AS INT) AS x, CAST(i * 10 AS INT) AS y FROM range(1000000) t(i)") + _EMPTY)
 def mock_leaderboard_empty_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mock_sql(spark, _EMPTY, "__mock_t10", "__mock_t11")
+
+
+# ---- replicated sets --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_name AS value FROM nation WHERE n_regionkey <> 2 OR n_nationkey % 2 = 0 UNION SELECT r_name FROM region")
+def observed_remove_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of the nations: one removes a region's, the other adds some of them again and the regions; the additions that weren't seen win."""
+    region, nation = load(spark, sf_dir, "region", "nation")
+    start = ObservedRemoveSet(nation.select(F.col("n_name").alias("value"), F.concat(F.lit("a"), "n_nationkey").alias("tag")))
+    one = start.remove(nation.where("n_regionkey = 2").select(F.col("n_name").alias("value")))
+    again = nation.where("n_regionkey = 2 AND n_nationkey % 2 = 0").select(F.col("n_name").alias("value"), F.concat(F.lit("b"), "n_nationkey").alias("tag"))
+    other = start.add(again).add(region.select(F.col("r_name").alias("value"), F.concat(F.lit("c"), "r_regionkey").alias("tag")))
+    return one.merge(other).elements()

@@ -291,3 +291,17 @@ def test_stream_to_table(spark, sf, tmp_path):
     running.to_table(counts.select(F.col("window.start").alias("day"), "event_type", "n"), str(tmp_path / "out"), str(tmp_path / "state"))
     n = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0]
     assert 0 < n <= 1000
+
+
+def test_observed_remove_sets(spark):
+    from millrace.operators.sets import ObservedRemoveSet
+
+    frame = lambda *pairs: spark.createDataFrame(list(pairs), "value string, tag int")
+    a, b = ObservedRemoveSet(frame(("x", 1), ("y", 2))), ObservedRemoveSet(frame(("x", 3)))
+    values = lambda s: sorted(r.value for r in s.elements().collect())
+    gone = a.remove(frame(("x", 0), ("z", 0)))
+    assert values(gone) == ["y"] and values(gone.merge(a)) == ["y"] and values(a.merge(gone)) == ["y"]
+    assert values(gone.merge(b)) == values(b.merge(gone)) == ["x", "y"]  # the other addition wasn't seen
+    assert values(gone.merge(b).remove(frame(("x", 0)))) == ["y"] and values(gone.add(frame(("x", 4)))) == ["x", "y"]
+    assert sorted(rows(gone.contains(frame(("x", 0), ("y", 0))))) == [("x", False), ("y", True)]
+    assert values(gone.merge(gone)) == ["y"]
