@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from millrace.llm.pieces import MARK, Pieces, parse, prepare
 from millrace.llm.scratch import cut
 
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 12 << 20
 #: Numbers of ids: 0 the end, then the most frequent ids, then ``SHARED`` for all others, by whether they begin a word and by their first letter.
-GROUPS, SHARED, SIDE = 1024, 16, 32
-WINDOW, STRIDE, WIDTH = 32, 24, 16
+GROUPS, SHARED, BITS = 1024, 16, 5
+SIDE = 1 << BITS
+WINDOW, STRIDE, WIDTH = 32, 28, 16
 #: Distinct words of chunks that one task sums up, about.
 WORD_ROWS = 1 << 20
 #: Factor of the hash by which words are dealt.
@@ -296,12 +297,12 @@ class Attention:
 
     def _scores(self, h: np.ndarray, before: np.ndarray, place: np.ndarray) -> tuple:
         """Scores of the upper level, and of the lower one in the order of the targets' upper places."""
-        up = place // SIDE
+        up = place >> BITS
         s1 = h @ self.w["first"]
         s1 += self.first.take(before, 0)
         order = np.argsort(up.astype(np.int8), kind="stable")
-        edges = np.searchsorted(up[order], np.arange(SIDE + 1)).tolist()
-        sorted_h, s2 = h.take(order, 0), self.second.take((before * SIDE + up).take(order), 0)
+        edges = np.append(0, np.cumsum(np.bincount(up, minlength=SIDE))).tolist()
+        sorted_h, s2 = h.take(order, 0), self.second.take(((before << BITS) + up).take(order), 0)
         for i, (a, b) in enumerate(zip(edges, edges[1:])):
             if b > a:
                 s2[a:b] += sorted_h[a:b] @ self.w["second"][i]
@@ -325,7 +326,7 @@ class Attention:
         s1, s2, up, order, *_ = self._scores(self._hidden(inputs, front)[-1], inputs[:, front:].ravel(), place)
         total1, total2 = self._totals(s1)[1], self._totals(s2)[1]
         out = s1[rows, up] - np.log(total1)[:, 0]
-        out[order] += s2[rows, (place % SIDE).take(order)] - np.log(total2)[:, 0]
+        out[order] += s2[rows, (place & SIDE - 1).take(order)] - np.log(total2)[:, 0]
         return out.reshape(target.shape)
 
     def gradient(self, inputs: np.ndarray, target: np.ndarray, counted: np.ndarray, whole: bool = True) -> np.ndarray:
@@ -342,7 +343,7 @@ class Attention:
         p2, n2 = self._totals(s2)
         sorted_share = share.take(order)
         p2 *= sorted_share[:, None] / n2
-        p2[rows, (place % SIDE).take(order)] -= sorted_share
+        p2[rows, (place & SIDE - 1).take(order)] -= sorted_share
         d_second, d_sorted = np.zeros_like(w["second"]), np.empty_like(sorted_h)
         for i, (b, e) in enumerate(zip(edges, edges[1:])):
             if e > b:
@@ -381,12 +382,13 @@ class Attention:
         return np.concatenate([parts[n].ravel() for n in self.SHAPES])
 
     def train(self, parts: Iterable[tuple], windows: int, done: float = 0.0, share: float = 1.0, whole: bool = True) -> int:
-        """Adam over parts of about so many windows in all, ``STEP`` at a time; the rate falls from where ``done`` of the training is behind by ``share`` of it.
+        """Adam over parts of about so many windows in all, ``STEP`` at a time, or twice that for the output only; the rate falls from where ``done`` of the training is behind by ``share`` of it.
         Returns the number of targets."""
         own = self.flat if whole else self.flat[-(self.w["first"].size + self.w["second"].size) :]
         m, v, one = np.zeros_like(own), np.zeros_like(own), own.dtype.type
-        steps, seen = max(1, windows // STEP), 0
-        batches = (tuple(x[at : at + STEP] for x in part) for part in parts for at in range(0, len(part[0]), STEP))
+        size = STEP if whole else 2 * STEP
+        steps, seen = max(1, windows // size), 0
+        batches = (tuple(x[at : at + size] for x in part) for part in parts for at in range(0, len(part[0]), size))
         for step, (inputs, target, counted) in enumerate(batches, 1):
             g = self.gradient(inputs, target, counted, whole)
             seen += int(counted.sum())
@@ -403,21 +405,27 @@ class Attention:
         return seen
 
 
-def _packed(rows: DataFrame, width: int) -> np.ndarray:
-    """Counts (i, n) of cells to a dense array on the driver, which takes in ``width`` numbers a row."""
+def _cells(total: np.ndarray, width: int) -> pa.RecordBatch:
+    """The counts above zero of a long array, packed by ``width`` of them: (row, places inside, counts)."""
+    some = np.flatnonzero(total)
+    first = np.append(0, np.flatnonzero(np.diff(some // width)) + 1) if len(some) else np.zeros(0, int)
+    parts = list(zip(first.tolist(), [*first[1:].tolist(), len(some)]))
+    columns = [pa.array([int(some[a]) // width for a, _ in parts], pa.int32()), *(pa.array([_planes(x[a:b]) for a, b in parts], pa.binary()) for x in (some % width, total[some]))]
+    return pa.record_batch(columns, ["row", "i", "n"])
+
+
+def _summed(rows: DataFrame, width: int) -> np.ndarray:
+    """The sum of all tables of :func:`_cells`, (GROUPS, width), on the driver; rows are added up on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = [tuple(b.column(c).to_numpy() for c in ("row", "i", "n")) for b in batches]
-        if cells:
-            row, i, n = (np.concatenate(x) for x in zip(*cells))
-            names, at = np.unique(row, return_inverse=True)
-            own = np.zeros((len(names), width), np.int64)
-            own[at, i % width] = n
-            yield pa.record_batch([pa.array(names, pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["row", "n"])
-
-    summed = rows.groupBy("i").agg(F.sum("n").alias("n")).withColumn("row", F.expr(f"i div {width}"))
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            for row, i, n in zip(*(b.column(c).to_pylist() for c in ("row", "i", "n"))):
+                own.setdefault(row, np.zeros(width, np.int64))[_from_planes(i, np.int64)] += _from_planes(n, np.int64)
+        yield pa.record_batch([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["row", "n"])
+
     out = np.zeros((GROUPS, width), np.int64)
-    for r in summed.repartition("row").mapInArrow(run, "row long, n binary").collect():
+    for r in rows.repartition("row").mapInArrow(run, "row int, n binary").collect():
         out[r["row"]] += np.frombuffer(r["n"], np.int64)
     return out
 
@@ -435,10 +443,9 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> dict[str, np.nda
                 each = np.repeat(_from_planes(n, np.int32), _from_planes(many, np.int32))
                 total += np.bincount(_from_planes(flat, np.int32), each, n_ids)
                 total[end_id] += len(held) - np.frombuffer(held, bool).sum()
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some].astype(np.int64))], ["i", "n"])
+        yield _cells(total.astype(np.int64), width)
 
-    unigram = _packed(coded.select("n", "n_pieces", "pieces", "held").mapInArrow(sums, "i long, n long"), width).ravel()[:n_ids]
+    unigram = _summed(coded.select("n", "n_pieces", "pieces", "held").mapInArrow(sums, "row int, i binary, n binary"), width).ravel()[:n_ids]
     number = numbered(pieces, unigram, end_id)
     texts = coded.select(*_TEXT)
 
@@ -457,10 +464,9 @@ def train_model(coded: DataFrame, model: bytes, end_id: int) -> dict[str, np.nda
             inside[c.first] = False
             then = np.flatnonzero(inside)
             total += np.bincount(own[then - 1] * GROUPS + own[then], np.repeat(times, c.n_pieces)[then], len(total)).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["i", "n"])
+        yield _cells(total, GROUPS)
 
-    after = _packed(texts.mapInArrow(pairs, "i long, n long"), GROUPS)
+    after = _summed(texts.mapInArrow(pairs, "row int, i binary, n binary"), GROUPS)
     order = places(after.astype(float))
     moved = np.zeros((GROUPS, GROUPS))
     moved[:, order] = after
@@ -590,7 +596,7 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         with np.errstate(divide="ignore"):
             counted = np.log(WORDS * np.maximum(many - DISCOUNT, 0) / max(1, n))
         rest = math.log(1 - WORDS + WORDS * DISCOUNT * v / max(1, n))
-        tokens = c.sizes + 1
+        tokens, known = c.sizes + 1, (many > 0).astype(np.int64)
         base, seen, mixed = [], [], []
         bound = np.cumsum(tokens, dtype=np.int64)
         at = 0
@@ -599,7 +605,7 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
             numbers, own = _id_scores(c, range(at, stop), m, attention)
             begin = np.append(0, np.cumsum(tokens[at : stop - 1], dtype=np.int64))
             base.append(np.add.reduceat(value.take(numbers), begin))
-            seen.append(np.add.reduceat((many > 0).take(numbers).astype(np.int64), begin))
+            seen.append(np.add.reduceat(known.take(numbers), begin))
             mixed.append(np.add.reduceat(np.logaddexp(counted.take(numbers), rest + own), begin) / math.log(10))
             at = stop
         rows = len(tokens)
