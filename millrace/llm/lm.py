@@ -596,20 +596,25 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         with np.errstate(divide="ignore"):
             counted = np.log(WORDS * np.maximum(many - DISCOUNT, 0) / max(1, n))
         rest = math.log(1 - WORDS + WORDS * DISCOUNT * v / max(1, n))
-        tokens, known = c.sizes + 1, (many > 0).astype(np.int64)
+        known = (many > 0).astype(np.int64)
+        places: dict[bytes, int] = {}  # equal documents of a chunk are scored once
+        alike = np.array([places.setdefault(c.at[a : a + n].tobytes(), len(places)) for a, n in zip(c.begin.tolist(), c.sizes.tolist())])
+        docs = np.unique(alike, return_index=True)[1]
+        tokens = c.sizes[docs] + 1
         base, seen, mixed = [], [], []
         bound = np.cumsum(tokens, dtype=np.int64)
         at = 0
-        while at < len(tokens):  # about 50,000 words at once, or one document
+        while at < len(docs):  # about 50,000 words at once, or one document
             stop = max(at + 1, int(np.searchsorted(bound, bound[at] + 50_000)))
-            numbers, own = _id_scores(c, range(at, stop), m, attention)
+            numbers, own = _id_scores(c, docs[at:stop], m, attention)
             begin = np.append(0, np.cumsum(tokens[at : stop - 1], dtype=np.int64))
             base.append(np.add.reduceat(value.take(numbers), begin))
             seen.append(np.add.reduceat(known.take(numbers), begin))
             mixed.append(np.add.reduceat(np.logaddexp(counted.take(numbers), rest + own), begin) / math.log(10))
             at = stop
+        base, seen, mixed, tokens = (x[alike] for x in (*(np.concatenate(y) for y in (base, seen, mixed)), tokens))
         rows = len(tokens)
-        return pa.table({"id": ids, "held_out": pa.array(c.held), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": np.concatenate(seen), "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": np.concatenate(base), "score": np.concatenate(mixed)})
+        return pa.table({"id": ids, "held_out": pa.array(c.held), "n_tokens": pa.array(tokens.astype(np.int64)), "n_known": seen, "train_tokens": pa.array([n] * rows, pa.int64()), "base_score": base, "score": mixed})
 
     out = coded.select("chunk", "ids", *_TEXT).groupBy("chunk").cogroup(of_chunk.groupBy("owner")).applyInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
