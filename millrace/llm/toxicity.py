@@ -156,9 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     chosen = marked.orderBy(*order).limit(max_rows)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("t"))
     # at most max_rows ids and labels are broadcast
-    found = cut(_distinct_words(src.join(F.broadcast(chosen), "id"), ["id", "t", *ys]), "labelled").dropDuplicates(["id", "t", *ys])
+    found = cut(_distinct_words(src.join(F.broadcast(chosen), "id"), ["id", "t", *ys]).withColumn("uid", F.monotonically_increasing_id()), "labelled")
+    # which rows stay is decided without their words; at most max_rows numbers are broadcast
+    picked = cut(found.groupBy("id", "t", *ys).agg(F.min("uid").alias("uid")).orderBy(*order, "t").limit(max_rows).select("uid"), "picked")
     fold = F.pmod(F.col("t"), F.lit(folds)).cast("int").alias("fold")
-    sample = cut(found.orderBy(*order, "t").limit(max_rows).select("id", "t", *ys, fold, "words"), "sample")
+    sample = found.join(F.broadcast(picked), "uid", "left_semi").select("id", "t", *ys, fold, "words")
     vocabulary, use = _selected(sample, ys, folds, max_words)
     numbered = _numbered(sample, vocabulary, ["id", "t", "fold", *ys]).orderBy(*order, "t").collect()
     marks = np.array([[r[y] for y in ys] for r in numbered], float).reshape(len(numbered), len(ys))
