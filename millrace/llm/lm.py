@@ -39,16 +39,16 @@ WORD_ROWS = 1 << 20
 #: Factor of the hash by which words are dealt.
 SPREAD = 0x9E3779B97F4A7C15
 #: Each round trains on one of so many parts of all windows; windows of a step, and when scoring; the rate at first, and the share it loses.
-ROUNDS, STEP, BATCH = 2, 96, 256
-RATE, DECAY = 3.2e-2, 0.9
+ROUNDS, STEP, BATCH = 2, 128, 256
+RATE, DECAY = 3.8e-2, 0.9
 #: Documents that a trainer strings together.
 TRAINED = 256
 #: Bound of a query's and a key's components, which keeps the exponentials finite.
 REACH = 2.0
 #: Weight of the shorter context's distribution against counts.
-BACKOFF = 8.0
+BACKOFF = 16.0
 #: Weight of word counts against the model, and what each count loses.
-WORDS, DISCOUNT = 0.1, 0.5
+WORDS, DISCOUNT = 0.12, 0.4
 
 
 def is_held_out(doc_id):
@@ -165,6 +165,12 @@ class Chunk:
             parts += [self.at[self.begin[i] : self.begin[i] + self.sizes[i]], [self.end]]
         return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
+    def different(self, docs: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(a document of each different text among ``docs``, for each of ``docs`` the place of its text's there)."""
+        known: dict[bytes, int] = {}
+        of = np.array([known.setdefault(self.at[self.begin[i] : self.begin[i] + self.sizes[i]].tobytes(), len(known)) for i in docs], np.int64)
+        return np.asarray(docs)[np.unique(of, return_index=True)[1]], of
+
     def flat(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of these words, how many each has)."""
         n = self.n_pieces.take(numbers)
@@ -325,8 +331,8 @@ class Attention:
         place, rows = target.ravel(), np.arange(target.size)
         s1, s2, up, order, *_ = self._scores(self._hidden(inputs, front)[-1], inputs[:, front:].ravel(), place)
         total1, total2 = self._totals(s1)[1], self._totals(s2)[1]
-        out = s1[rows, up] - np.log(total1)[:, 0]
-        out[order] += s2[rows, (place & SIDE - 1).take(order)] - np.log(total2)[:, 0]
+        out = s1.ravel().take((rows << BITS) + up) - np.log(total1)[:, 0]
+        out[order] += s2.ravel().take((rows << BITS) + (place & SIDE - 1).take(order)) - np.log(total2)[:, 0]
         return out.reshape(target.shape)
 
     def gradient(self, inputs: np.ndarray, target: np.ndarray, counted: np.ndarray, whole: bool = True) -> np.ndarray:
@@ -336,7 +342,7 @@ class Attention:
         place, rows = target.ravel(), np.arange(target.size)
         s1, s2, up, order, edges, sorted_h = self._scores(h, inputs[:, front:].ravel(), place)
         share = counted.reshape(-1).astype(self.flat.dtype)
-        share /= max(1, int(counted.sum()))
+        share /= max(1, counted.sum())
         p1, n1 = self._totals(s1)
         p1 *= share[:, None] / n1
         p1[rows, up] -= share
@@ -569,7 +575,7 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     src = docs.select(docs[id_col].alias("id"), held.alias("held"), docs[text_col].alias("text"))
     id_type = src.schema["id"].dataType.simpleString()
     run, schema = _coder(model, id_type)
-    coded = cut(src.mapInArrow(run, schema), "coded")
+    coded = cut(src.mapInArrow(run, schema), "coded", "lz4")  # read several times
     size = coded.agg(F.coalesce(F.sum(F.octet_length("n_pieces")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // WORD_ROWS))
     dealt = coded.select("chunk", "word", "length", "n").mapInArrow(lambda x: _dealt_words(x, parts), "part int, chunk long, first int, word binary, length binary, n binary")
@@ -593,13 +599,10 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
             many[first : first + len(counts)] = counts
         many[c.end] = ends
         value = np.log10(many + 1.0) - math.log10(n + v + 1)
-        with np.errstate(divide="ignore"):
-            counted = np.log(WORDS * np.maximum(many - DISCOUNT, 0) / max(1, n))
+        counted = WORDS * np.maximum(many - DISCOUNT, 0) / max(1, n)
         rest = math.log(1 - WORDS + WORDS * DISCOUNT * v / max(1, n))
         known = (many > 0).astype(np.int64)
-        places: dict[bytes, int] = {}  # equal documents of a chunk are scored once
-        alike = np.array([places.setdefault(c.at[a : a + n].tobytes(), len(places)) for a, n in zip(c.begin.tolist(), c.sizes.tolist())])
-        docs = np.unique(alike, return_index=True)[1]
+        docs, alike = c.different(range(len(c.sizes)))  # equal documents of a chunk are scored once
         tokens = c.sizes[docs] + 1
         base, seen, mixed = [], [], []
         bound = np.cumsum(tokens, dtype=np.int64)
@@ -610,7 +613,11 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
             begin = np.append(0, np.cumsum(tokens[at : stop - 1], dtype=np.int64))
             base.append(np.add.reduceat(value.take(numbers), begin))
             seen.append(np.add.reduceat(known.take(numbers), begin))
-            mixed.append(np.add.reduceat(np.logaddexp(counted.take(numbers), rest + own), begin) / math.log(10))
+            own += rest
+            both = np.exp(own) + counted.take(numbers)
+            small = both < 1e-290  # long words that were never counted
+            both[small] = 1
+            mixed.append(np.add.reduceat(np.where(small, own, np.log(both)), begin) / math.log(10))
             at = stop
         base, seen, mixed, tokens = (x[alike] for x in (*(np.concatenate(y) for y in (base, seen, mixed)), tokens))
         rows = len(tokens)

@@ -33,11 +33,11 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the written table."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     fs, where = _place(spark, path)
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
